@@ -9,14 +9,15 @@ that depends on the set's size are made (about m ln m per set, not m per element
 1. Every whole text becomes its set of shingle hashes, a digest of it, and its registers. Texts with
    equal sets are one class from here on; the class is its smallest row.
 2. ``BANDS`` bands of ``ROWS`` registers. In each bucket every class is compared with one
-   representative that is drawn anew per band, so a group of n alike texts costs at most
-   ``BANDS`` n comparisons and no bucket is expanded into pairs. Buckets go by pre-aggregated minima.
+   representative, the member of the least hash, so a group of n alike texts costs a small multiple
+   of n comparisons and no bucket is expanded into pairs. Buckets go by pre-aggregated minima.
 3. A pair's similarity is estimated by the likelihood of its registers (how many are greater, less
    and equal, with both set sizes known); pairs that are implausible at the threshold by more than
    ``DOUBT`` log units are left out, all others are verified on their full sets.
 4. Links give components by alternating star contraction. Buckets that still hold several components
-   are then compared across components until none is unexplained, so no link between different
-   texts is lost to the choice of representatives.
+   are then compared across components, so no link between different texts is lost to the choice of
+   representatives. Only pairs that can still reach the threshold are made: shingles that one row
+   alone has bound its overlap with every other.
 
 At similarity 0.8 a pair shares no bucket with probability below 1e-9. Nulls and texts without words
 have an empty set and no links. Null or repeated ids: see ``common.keyed``. Empty table: no rows.
@@ -38,7 +39,9 @@ from .components import connected_components
 BASE, SHIFT, TOP = 1.2, 40, 254
 BANDS, ROWS = 64, 6
 REGISTERS = BANDS * ROWS
-DOUBT = 16.0
+DOUBT = 12.0
+#: Pairs of one row that one copy of its set serves.
+SALTED = 256
 SKETCH = "rid long, n_shingles long, d1 long, d2 long, registers binary"
 
 
@@ -186,22 +189,21 @@ def _estimate(threshold: float):
     return run
 
 
-def verify(ws: Workspace, pairs: DataFrame, sketched: DataFrame, rows: DataFrame, k: int, percent: int, name: str) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b), on their full sets. Pairs of one a are salted by b."""
+def verify(ws: Workspace, pairs: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """The linked ones of ``pairs`` (a, b), on their full sets. Pairs of an a that has many are salted by b."""
     small = sketched.select("rid", "n_shingles", "registers")
     left = small.select(F.col("rid").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     right = small.select(F.col("rid").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
     joined = pairs.join(left, "a").join(right, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     likely = ws.save(joined.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_estimate(percent / 100), "a long, b long"), f"likely-{name}")
-    wanted = likely.select(F.col("a").alias("rid")).unionByName(likely.select(F.col("b").alias("rid"))).distinct()
-    sets = ws.save(shingles(rows.join(wanted, "rid", "left_semi"), k), f"shingles-{name}")
-    # the set of a is sent once for each salt that occurs, not once for each pair
-    salted = likely.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
-    firsts = salted.select("a", "salt").distinct().join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a")
-    seconds = salted.join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b")
+    # the set of a is sent once for each salt (one for SALTED pairs), not once for each pair
+    salts = likely.groupBy("a").agg((F.floor(F.count(F.lit(1)) / SALTED) + 1).alias("salts"))
+    salted = likely.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    firsts = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt")).join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a")
+    seconds = salted.select("a", "b", "salt").join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b")
     both = seconds.join(firsts, ["a", "salt"])
     links = ws.save(both.select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long"), f"links-{name}")
-    ws.drop(f"shingles-{name}", f"likely-{name}")
+    ws.drop(f"likely-{name}")
     return links
 
 
@@ -229,20 +231,27 @@ def near_duplicates(rows: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     classes = ws.save(sketched.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("rid").alias("class")), "classes")
     heads = sketched.join(classes.select(F.col("class").alias("rid")), "rid", "left_semi")
     buckets = band_rows(heads)
-    # one representative a bucket: the member with the least draw
-    chosen = buckets.withColumn("draw", F.xxhash64("rid", "bucket")).groupBy("bucket").agg(F.min_by("rid", "draw").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # one representative a bucket: the member with the least draw (a draw for each of two kinds of buckets)
+    chosen = buckets.withColumn("draw", F.xxhash64("rid", F.col("bucket").bitwiseAND(1))).groupBy("bucket").agg(F.min_by("rid", "draw").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     chosen = ws.save(chosen.select("bucket", "rep"), "chosen")
     members = ws.save(buckets.join(chosen, "bucket").select("rid", "bucket", "rep"), "members")
+    ws.drop("chosen")
+    sets = ws.save(shingles(rows.join(members.select("rid").distinct(), "rid", "left_semi"), k), "shingles")
     pairs = ws.save(members.filter("rid <> rep").select(F.least("rid", "rep").alias("a"), F.greatest("rid", "rep").alias("b")).distinct(), "pairs")
-    links = verify(ws, pairs, heads, rows, k, percent, "first")
+    links = verify(ws, pairs, heads, sets, percent, "first")
     labels = connected_components(ws, links, "first")
     # what representatives left open: buckets that hold several components
     tagged = members.select("rid", "bucket").join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     mixed = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
     rest = ws.save(tagged.join(mixed, "bucket"), "rest")
-    across = rest.alias("x").join(rest.alias("y"), F.expr("x.bucket = y.bucket and x.label <> y.label and x.rid < y.rid")).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
-    untested = ws.save(across.join(pairs, ["a", "b"], "left_anti"), "untested")
-    more = verify(ws, untested, heads, rows, k, percent, "rest")
+    # shingles that no other row of these buckets has can't be common: an exact bound on each overlap
+    whose = sets.join(rest.select("rid").distinct(), "rid", "left_semi")
+    own = whose.select("rid", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n")).filter("n = 1").groupBy("rid").agg(F.count(F.lit(1)).alias("own"))
+    bounds = heads.select("rid", "n_shingles").join(own, "rid", "left").select("rid", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("m"))
+    rest = ws.save(rest.join(bounds, "rid"), "bounded").filter(f"100 * m >= {percent} * n")
+    fits = f"100 * least(x.m, y.m) >= {percent} * (x.n + y.n - least(x.m, y.m))"
+    across = rest.alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket and x.label <> y.label and x.rid < y.rid and {fits}")).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+    more = verify(ws, ws.save(across.join(pairs, ["a", "b"], "left_anti"), "untested"), heads, sets, percent, "rest")
     if more.limit(1).count():
         labels = connected_components(ws, links.unionByName(more), "second")
     by_class = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "class").alias("component"))
