@@ -5,7 +5,7 @@ documents it reads, in blocks of about ``block_tokens`` tokens: a document's ful
 first, then the remainders in descending length, each to the sequence of lowest cost that still
 has room; a remainder that fits nowhere is cut over the cheapest sequences with room. A block has
 ``ceil(tokens / length)`` sequences, so at most one is not full; its content is halved into
-powers of two, which need no padding, down to ``least`` tokens.
+powers of two, which need no padding (those below ``least`` tokens stay together).
 
 No shuffle: memory is a block's ids, whatever the input. Null text is an empty document (its end
 id only); repeated rows and null ids are packed as documents of their own.
@@ -33,7 +33,7 @@ def cost(n: int, linear: float = 1.0, quadratic: float = 1.0 / LENGTH) -> float:
     return linear * n + quadratic * n * n
 
 
-def assign(lengths: list[int], length: int = LENGTH, least: int = 64) -> list[tuple[int, int, int, int, int]]:
+def assign(lengths: list[int], length: int = LENGTH, least: int = 1) -> list[tuple[int, int, int, int, int]]:
     """(document, start, tokens, sequence, offset) of each piece; documents are indices of ``lengths``."""
     pieces, sequence = [], 0
     rest = []

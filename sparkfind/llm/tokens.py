@@ -7,13 +7,17 @@ cache, and only unknown pieces go to the library. The cut is exact, not an appro
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 
-#: Estimated bytes that a worker's cache holds before it starts anew.
-CACHE_BYTES = 80 << 20
+#: Estimated bytes in each of the two halves of a worker's cache.
+CACHE_BYTES = 100 << 20
 _made: dict = {}
+#: A blank beside other white space.
+_CROWDED = re.compile(r"\s | \s").search
 
 
 def _tokenizer(path: str):
@@ -29,21 +33,23 @@ class Cached:
     """Ids of pieces, through a bounded cache. encode: list of pieces -> list of id lists."""
 
     def __init__(self, encode: Callable[[list], Iterable], pieces: Callable[[str], list], limit: int = CACHE_BYTES):
-        self.encode, self.pieces, self.limit, self.known, self.size = encode, pieces, limit, {}, 0
+        self.encode, self.pieces, self.limit, self.known, self.old, self.size = encode, pieces, limit, {}, {}, 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out = []
         for i in range(0, len(texts), 64):
             cut = [self.pieces(t) for t in texts[i : i + 64]]
-            if self.size > self.limit:
-                self.known, self.size = {}, 0
-            known = self.known
-            new = list({p for ps in cut for p in ps if p not in known})
+            if self.size > self.limit:  # what is used again comes back from the older half
+                self.known, self.old, self.size = {}, self.known, 0
+            known, old = self.known, self.old
+            fresh = set(chain.from_iterable(cut)).difference(known)
+            self.size += sum(180 + 6 * len(p) for p in fresh)
+            known.update((p, old[p]) for p in fresh if p in old)
+            new = [p for p in fresh if p not in known]
             for j in range(0, len(new), 4096):
                 part = new[j : j + 4096]
                 known.update(zip(part, (np.asarray(x, "<u4").tobytes() for x in self.encode(part)), strict=True))
-            self.size += sum(180 + 6 * len(p) for p in new)
             get = known.__getitem__
             out += [b"".join(map(get, ps)) for ps in cut]
         return out
@@ -54,6 +60,8 @@ def space_pieces(text: str) -> list[str]:
     between two other characters that are not white space starts a new piece. Text with longer
     or other white space around blanks stays joined there."""
     parts = text.split(" ")
+    if not _CROWDED(text):
+        return [x for x in [parts[0], *[" " + p for p in parts[1:]]] if x]
     out, held = [], parts[0]
     for part in parts[1:]:
         if held and part and not held[-1].isspace() and not part[0].isspace():
@@ -71,11 +79,43 @@ def word_pieces(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def plain_words(made, lower: bool) -> Callable[[list[str]], Iterable]:
+    """An encoder of pieces that hands plain words straight to the library's BPE model.
+
+    A piece of Latin-1 letters, with or without a blank before and a full stop or comma after, is
+    one pre-token (and one for the mark): normalising it is lower-casing at most, and its bytes map
+    to the model's characters. All other pieces take the library's whole path."""
+    from .bpe import byte_map
+
+    table = dict(enumerate(byte_map()))
+    model = made.model
+    marks = {c: [t.id for t in model.tokenize(c)] for c in ".,"}
+
+    def word(p: str) -> list[int] | None:
+        end = p[-1:] if p[-1:] in marks else ""
+        body = p[: len(p) - len(end)]
+        letters = body[1:] if body[:1] == " " and not lower else body
+        if not letters.isalpha() or max(letters) > "\xff":
+            return None
+        body = body.lower() if lower else body
+        ids = [t.id for t in model.tokenize(body.encode().decode("latin-1").translate(table))]
+        return ids + marks[end] if end else ids
+
+    def encode(ps: list[str]) -> list:
+        out = [word(p) for p in ps]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, made.encode_batch_fast([ps[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    return encode
+
+
 def byte_bpe(path: str) -> Cached:
     """The byte-level BPE of a tokenizers file."""
     if ("byte", path) not in _made:
         made = _tokenizer(path)
-        _made["byte", path] = Cached(lambda ps: (e.ids for e in made.encode_batch_fast(ps, add_special_tokens=False)), space_pieces)
+        _made["byte", path] = Cached(plain_words(made, lower=False), space_pieces)
     return _made["byte", path]
 
 
@@ -83,7 +123,8 @@ def word_bpe(path: str) -> Cached:
     """The word BPE of a tokenizers file whose normaliser drops white space."""
     if ("word", path) not in _made:
         made = _tokenizer(path)
-        _made["word", path] = Cached(lambda ps: (e.ids for e in made.encode_batch_fast([p.decode() for p in ps], add_special_tokens=False)), word_pieces)
+        encode = plain_words(made, lower=True)
+        _made["word", path] = Cached(lambda ps: encode([p.decode("utf-8", "surrogatepass") for p in ps]), word_pieces)
     return _made["word", path]
 
 

@@ -68,16 +68,16 @@ class Group:
             return (q.astype(np.float32) @ p.astype(np.float32).T).astype(np.int64)
         if bound < 1 << 53:
             return (q.astype(np.float64) @ p.astype(np.float64).T).astype(np.int64)
-        if bound < 1 << 62:
+        if bound < 1 << 61:
             return q @ p.T
-        raise OverflowError("inner products beyond 64 bits")
+        raise OverflowError("inner products beyond 61 bits")
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row of the query, id and score of at most k best candidates of each query."""
         nq, n = len(q), len(self.ids)
         lengths = np.sqrt((q.astype(np.float64) ** 2).sum(1))
         focus = np.abs(q).argmax(1) if q.shape[1] else np.zeros(nq, np.int64)
-        least = np.iinfo(np.int64).min
+        least = -(1 << 62)  # below any score; its negative is a number too
         best = np.full((nq, k), least, np.int64)  # scores
         where = np.full((nq, k), -1, np.int64)
         theta = np.full(nq, -np.inf)
