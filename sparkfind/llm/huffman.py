@@ -94,8 +94,11 @@ def encode_block(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tup
     begin = at[:-1]
     value = codes[ids] << (U64(64) - n.astype(U64) - (begin & 31).astype(U64))
     words = np.zeros(int(at[-1] >> 5) + 3, np.uint64)
-    np.add.at(words, begin >> 5, value >> U64(32))
-    np.add.at(words, (begin >> 5) + 1, value & U64(0xFFFFFFFF))
+    # codes that begin in the same word stand together: sum them by runs
+    place = begin >> 5
+    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    words[place[new]] += np.add.reduceat(value >> U64(32), new)
+    words[place[new] + 1] += np.add.reduceat(value & U64(0xFFFFFFFF), new)
     return words.astype(">u4").tobytes(), begin[::STEP].astype("<i8").tobytes()
 
 
