@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .tokens import Cached, public_path, space_pieces
+from .tokens import Cached, packed, public_path, space_pieces
 
 _made: dict = {}
 
@@ -84,7 +84,7 @@ class ByteBPE:
         split = regex.compile(pattern).findall
         ranks, known = self.ranks, rank_of
 
-        def encode(pieces: list[str]) -> Iterator[list[int]]:
+        def encode(pieces: list[str], _known: dict) -> Iterator[bytes]:
             cut = [[m.encode("utf-8", "surrogatepass") for m in split(p)] for p in pieces]
             rest = list({m for ms in cut for m in ms if m not in ranks})
             ids = dict(zip(rest, made.encode([m.decode("latin-1").translate(table) for m in rest], num_threads=1), strict=True)) if rest else {}
@@ -95,7 +95,7 @@ class ByteBPE:
                         out.append(r)
                     else:
                         out.extend(known[ids[m]].tolist())
-                yield out
+                yield packed(out)
 
         self.encode = Cached(encode, space_pieces)
         self.tokens = np.empty(max(self.ranks.values()) + 1, object)

@@ -6,16 +6,20 @@ cache, and only unknown pieces go to the library. The cut is exact, not an appro
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable
-from itertools import chain
-
-import numpy as np
+from itertools import repeat
+from operator import attrgetter
 
 #: Estimated bytes in each of the two halves of a worker's cache.
-CACHE_BYTES = 100 << 20
+CACHE_BYTES = 160 << 20
 _made: dict = {}
+#: ASCII marks that stand in no word (fixed: string.punctuation without the apostrophe).
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: A blank beside other white space.
 _CROWDED = re.compile(r"\s | \s").search
 
@@ -29,10 +33,19 @@ def _tokenizer(path: str):
     return made
 
 
+def packed(ids: Iterable[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Cached:
-    """Ids of pieces, through a bounded cache. encode: list of pieces -> list of id lists."""
+    """Ids of pieces, through a bounded cache. encode: a list of pieces and what is known (which it
+    may add to) -> the packed ids of each."""
 
-    def __init__(self, encode: Callable[[list], Iterable], pieces: Callable[[str], list], limit: int = CACHE_BYTES):
+    def __init__(self, encode: Callable[[list, dict], Iterable[bytes]], pieces: Callable[[str], list], limit: int = CACHE_BYTES):
         self.encode, self.pieces, self.limit, self.known, self.old, self.size = encode, pieces, limit, {}, {}, 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -43,15 +56,19 @@ class Cached:
             if self.size > self.limit:  # what is used again comes back from the older half
                 self.known, self.old, self.size = {}, self.known, 0
             known, old = self.known, self.old
-            fresh = set(chain.from_iterable(cut)).difference(known)
-            self.size += sum(180 + 6 * len(p) for p in fresh)
+            # one lookup a piece; what is not there comes back empty
+            found = [list(map(known.get, ps, repeat(b""))) for ps in cut]
+            odd = [k for k, got in enumerate(found) if not all(got)]
+            fresh = {p for k in odd for p, x in zip(cut[k], found[k]) if not x}.difference(known)
+            self.size += sum(map(len, fresh)) * 6 + 180 * len(fresh)
             known.update((p, old[p]) for p in fresh if p in old)
             new = [p for p in fresh if p not in known]
             for j in range(0, len(new), 4096):
                 part = new[j : j + 4096]
-                known.update(zip(part, (np.asarray(x, "<u4").tobytes() for x in self.encode(part)), strict=True))
-            get = known.__getitem__
-            out += [b"".join(map(get, ps)) for ps in cut]
+                known.update(zip(part, self.encode(part, known), strict=True))
+            for k in odd:
+                found[k] = [x or known[p] for p, x in zip(cut[k], found[k])]
+            out += map(b"".join, found)
         return out
 
 
@@ -79,33 +96,57 @@ def word_pieces(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def plain_words(made, lower: bool) -> Callable[[list[str]], Iterable]:
+def plain_words(made, lower: bool) -> Callable[[list, dict], list[bytes]]:
     """An encoder of pieces that hands plain words straight to the library's BPE model.
 
-    A piece of Latin-1 letters, with or without a blank before and a full stop or comma after, is
-    one pre-token (and one for the mark): normalising it is lower-casing at most, and its bytes map
-    to the model's characters. All other pieces take the library's whole path."""
+    A piece of Latin-1 letters, with or without a blank before and a run of ``MARKS`` after, is
+    one pre-token (and one for the run): normalising it is lower-casing at most, and its bytes map
+    to the model's characters. Where white space is kept, such pieces on both sides of one line feed
+    are plain too: the line feed is a pre-token. A word is looked up without its marks. All other pieces take the library's whole path."""
     from .bpe import byte_map
 
-    table = dict(enumerate(byte_map()))
-    model = made.model
-    marks = {c: [t.id for t in model.tokenize(c)] for c in ".,"}
+    chars = byte_map()
+    table = dict(enumerate(chars))
+    tokenize, ids_of = made.model.tokenize, attrgetter("id")
+    blank, feed = chars[0x20], packed(map(ids_of, tokenize(chars[0x0A])))
 
-    def word(p: str) -> list[int] | None:
-        end = p[-1:] if p[-1:] in marks else ""
-        body = p[: len(p) - len(end)]
-        letters = body[1:] if body[:1] == " " and not lower else body
-        if not letters.isalpha() or max(letters) > "\xff":
-            return None
-        body = body.lower() if lower else body
-        ids = [t.id for t in model.tokenize(body.encode().decode("latin-1").translate(table))]
-        return ids + marks[end] if end else ids
+    @functools.lru_cache(4096)
+    def run_of_marks(run: str) -> bytes:
+        return packed(map(ids_of, tokenize(run)))
 
-    def encode(ps: list[str]) -> list:
-        out = [word(p) for p in ps]
+    def word(p: str, known: dict) -> bytes | None:
+        body = p.rstrip(MARKS)
+        spaced = not lower and body[:1] == " "
+        letters = body[1:] if spaced else body
+        if not letters.isalpha():
+            return None
+        if not (plain := letters.isascii()) and max(letters) > "\xff":
+            return None
+        small = body.lower() if lower else body
+        key = small.encode() if lower else small
+        if (ids := known.get(key)) is None:
+            mapped = small if lower else letters
+            mapped = mapped if plain else mapped.encode().decode("latin-1").translate(table)
+            ids = known[key] = packed(map(ids_of, tokenize(blank + mapped if spaced else mapped)))
+        return ids + run_of_marks(p[len(body) :]) if len(body) < len(p) else ids
+
+    def words(p: str, known: dict) -> bytes | None:
+        if lower or "\n" not in p:
+            return word(p, known)
+        out = []
+        for line in p.split("\n"):
+            ids = word(line, known)
+            if ids is None or out and line[0] == " ":
+                return None
+            out.append(ids)
+        return feed.join(out)
+
+    def encode(ps: list, known: dict) -> list[bytes]:
+        texts = [p.decode("utf-8", "surrogatepass") for p in ps] if lower else ps
+        out = [words(p, known) for p in texts]
         rest = [i for i, ids in enumerate(out) if ids is None]
-        for i, e in zip(rest, made.encode_batch_fast([ps[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
+        for i, e in zip(rest, made.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = packed(e.ids)
         return out
 
     return encode
@@ -123,8 +164,7 @@ def word_bpe(path: str) -> Cached:
     """The word BPE of a tokenizers file whose normaliser drops white space."""
     if ("word", path) not in _made:
         made = _tokenizer(path)
-        encode = plain_words(made, lower=True)
-        _made["word", path] = Cached(lambda ps: encode([p.decode("utf-8", "surrogatepass") for p in ps]), word_pieces)
+        _made["word", path] = Cached(plain_words(made, lower=True), word_pieces)
     return _made["word", path]
 
 
