@@ -144,6 +144,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     [part.column(0), pa.array([len(c) for c in cells], pa.int64()), pa.array([width] * len(cells), pa.int32()), pa.array([np.ascontiguousarray(c[:, :width]).tobytes() for c in cells], pa.binary())],
                     ["doc_id", "n_tokens", "width", "ids"],
                 )
+        encode.rest()
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, width int, ids binary")
 

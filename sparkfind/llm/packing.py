@@ -139,6 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
                         out, n = _rows(ids, held, first, length)
                         first, ids, held, tokens = first + n, [], [], 0
                         yield out
+        encode.rest()
         if ids:
             yield _rows(ids, held, first, length)[0]
 

@@ -16,7 +16,7 @@ from itertools import repeat
 from operator import attrgetter
 
 #: Estimated bytes in each of the two halves of a worker's cache.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 100 << 20
 _made: dict = {}
 #: ASCII marks that stand in no word (fixed: string.punctuation without the apostrophe).
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -48,6 +48,10 @@ class Cached:
     def __init__(self, encode: Callable[[list, dict], Iterable[bytes]], pieces: Callable[[str], list], limit: int = CACHE_BYTES):
         self.encode, self.pieces, self.limit, self.known, self.old, self.size = encode, pieces, limit, {}, {}, 0
 
+    def rest(self) -> None:
+        """Frees the older half: at a task's end, as the worker may go on with other work."""
+        self.old = {}
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out = []
