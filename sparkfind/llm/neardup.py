@@ -16,8 +16,8 @@ that depends on the set's size are made (about m ln m per set, not m per element
    ``DOUBT`` log units are left out, all others are verified on their full sets.
 4. Links give components by alternating star contraction. Buckets that still hold several components
    are then compared across components, so no link between different texts is lost to the choice of
-   representatives. Only pairs that can still reach the threshold are made: shingles that one row
-   alone has bound its overlap with every other.
+   representatives. Only pairs that share one of their rarest shingles are made, which every pair at
+   the threshold does (``prefix_pairs``): a passage that many texts have makes no pairs.
 
 At similarity 0.8 a pair shares no bucket with probability below 1e-9. Nulls and texts without words
 have an empty set and no links. Null or repeated ids: see ``common.keyed``. Empty table: no rows.
@@ -223,6 +223,25 @@ def _linked(percent: int):
     return run
 
 
+def prefix_pairs(ws: Workspace, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (rid, label) of different labels that can reach the threshold: all of them that do.
+
+    A set's shingles stand in the order (rows that have it, hash), rarest first. Two sets of the
+    threshold share one of each one's first ``n - ceil(t n) + 1``, and from the first shared one on
+    enough are left. Shingles of one row alone only count for the places of the others."""
+    held = nodes.join(sets, "rid").select("rid", "label", F.size("shingles").alias("n"), "shingles")
+    held = ws.save(held, "open")
+    each = held.select("rid", "label", "n", F.explode("shingles").alias("s"))
+    shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    ranked = each.join(shared, "s").groupBy("rid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("ranked"))
+    first = F.expr(f"n - int(ceil({percent} * n / 100)) + 1 - (n - size(ranked))")
+    prefix = ranked.filter(first > 0).select("rid", "label", "n", (F.col("n") - F.size("ranked")).alias("own"), F.posexplode(F.slice("ranked", F.lit(1), first)).alias("i", "x"))
+    prefix = ws.save(prefix.select("rid", "label", "n", F.expr("n - own - i").alias("left"), "x.s"), "prefix")
+    enough = f"100 * least(x.left, y.left) >= {percent} * (x.n + y.n - least(x.left, y.left))"
+    found = prefix.alias("x").join(prefix.alias("y"), F.expr(f"x.s = y.s and x.label <> y.label and x.rid < y.rid and {enough}"))
+    return found.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+
+
 def near_duplicates(rows: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
     """rid, n_shingles and component (a rid) for every one of ``rows`` (rid, text; see ``common.keyed``)."""
     ws = Workspace(rows.sparkSession, "near")
@@ -243,14 +262,8 @@ def near_duplicates(rows: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     # what representatives left open: buckets that hold several components
     tagged = members.select("rid", "bucket").join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     mixed = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = ws.save(tagged.join(mixed, "bucket"), "rest")
-    # shingles that no other row of these buckets has can't be common: an exact bound on each overlap
-    whose = sets.join(rest.select("rid").distinct(), "rid", "left_semi")
-    own = whose.select("rid", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n")).filter("n = 1").groupBy("rid").agg(F.count(F.lit(1)).alias("own"))
-    bounds = heads.select("rid", "n_shingles").join(own, "rid", "left").select("rid", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("m"))
-    rest = ws.save(rest.join(bounds, "rid"), "bounded").filter(f"100 * m >= {percent} * n")
-    fits = f"100 * least(x.m, y.m) >= {percent} * (x.n + y.n - least(x.m, y.m))"
-    across = rest.alias("x").join(rest.alias("y"), F.expr(f"x.bucket = y.bucket and x.label <> y.label and x.rid < y.rid and {fits}")).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+    rest = tagged.join(mixed, "bucket")
+    across = prefix_pairs(ws, rest.groupBy("rid").agg(F.min("label").alias("label")), sets, percent)
     more = verify(ws, ws.save(across.join(pairs, ["a", "b"], "left_anti"), "untested"), heads, sets, percent, "rest")
     if more.limit(1).count():
         labels = connected_components(ws, links.unionByName(more), "second")
