@@ -224,16 +224,16 @@ def _linked(percent: int):
 
 
 def prefix_pairs(ws: Workspace, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (rid, label) of different labels that can reach the threshold: all of them that do.
+    """Pairs (a, b) of ``nodes`` (rid, label, n: its shingles) of different labels that can reach the threshold: all of them that do.
 
     A set's shingles stand in the order (rows that have it, hash), rarest first. Two sets of the
     threshold share one of each one's first ``n - ceil(t n) + 1``, and from the first shared one on
     enough are left. Shingles of one row alone only count for the places of the others."""
-    held = nodes.join(sets, "rid").select("rid", "label", F.size("shingles").alias("n"), "shingles")
-    held = ws.save(held, "open")
-    each = held.select("rid", "label", "n", F.explode("shingles").alias("s"))
-    shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = each.join(shared, "s").groupBy("rid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("ranked"))
+    held = sets.join(nodes, "rid", "left_semi")
+    each = held.select("rid", F.explode("shingles").alias("s"))
+    shared = ws.save(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
+    ranked = each.join(shared, "s").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("ranked"))
+    ranked = ranked.join(nodes, "rid")
     first = F.expr(f"n - int(ceil({percent} * n / 100)) + 1 - (n - size(ranked))")
     prefix = ranked.filter(first > 0).select("rid", "label", "n", (F.col("n") - F.size("ranked")).alias("own"), F.posexplode(F.slice("ranked", F.lit(1), first)).alias("i", "x"))
     prefix = ws.save(prefix.select("rid", "label", "n", F.expr("n - own - i").alias("left"), "x.s"), "prefix")
@@ -263,7 +263,8 @@ def near_duplicates(rows: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     tagged = members.select("rid", "bucket").join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     mixed = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
     rest = tagged.join(mixed, "bucket")
-    across = prefix_pairs(ws, rest.groupBy("rid").agg(F.min("label").alias("label")), sets, percent)
+    nodes = ws.save(rest.groupBy("rid").agg(F.min("label").alias("label")).join(heads.select("rid", F.col("n_shingles").alias("n")), "rid"), "open")
+    across = prefix_pairs(ws, nodes, sets, percent)
     more = verify(ws, ws.save(across.join(pairs, ["a", "b"], "left_anti"), "untested"), heads, sets, percent, "rest")
     if more.limit(1).count():
         labels = connected_components(ws, links.unionByName(more), "second")
