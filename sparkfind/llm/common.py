@@ -56,6 +56,9 @@ class Workspace:
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         # shuffle files of a finished write are of no more use: the written table replaces them
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+        # whole texts and sets are long rows: small batches bound what a worker and its JVM hold at once
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
         _made[self.base] = spark
 
     def path(self, name: str) -> str:
