@@ -206,6 +206,26 @@ def test_near(docs, empty, spark, sf):
     assert neardup.near_duplicates(keyed(Workspace(spark, "t"), empty)).count() == 0
 
 
+def test_prefix_pairs_lose_no_link(spark):
+    r = np.random.default_rng(3)
+    common = list(range(1000, 1030))  # a passage of many rows
+    sets = {}
+    for i in range(60):
+        own = r.integers(0, 60, r.integers(0, 30)).tolist()
+        sets[i] = sorted({*(common if i % 2 else []), *own} or {5000 + i})
+        if i % 3 == 0:  # a near copy, at, above or below the threshold
+            sets[100 + i] = sorted({*sets[i][: len(sets[i]) - int(r.integers(0, 1 + len(sets[i]) // 4))], *([7000 + i] if i % 2 else [])} or {6000 + i})
+    nodes = spark.createDataFrame([(i, i, len(x)) for i, x in sets.items()], "rid long, label long, n long")
+    table = spark.createDataFrame(list(sets.items()), "rid long, shingles array<long>")
+    got = {tuple(x) for x in neardup.prefix_pairs(Workspace(spark, "t"), nodes, table, 80).collect()}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    linked = {(a, b) for a, b in pairs if 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    assert linked and linked <= got and len(got) < len(pairs) / 4
+    one = nodes.withColumn("label", F.lit(1))
+    assert neardup.prefix_pairs(Workspace(spark, "t"), one, table, 80).count() == 0
+    assert neardup.prefix_pairs(Workspace(spark, "t"), nodes.limit(0), table, 80).count() == 0
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40) if i % 7] + [(100, 3), (101, 100)]
     got = {r["node"]: r["label"] for r in connected_components(Workspace(spark, "t"), spark.createDataFrame(links, "a long, b long"), "t").collect()}
