@@ -276,4 +276,14 @@ def near_duplicates(rows: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keyed(Workspace(spark, "op10"), spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return near_duplicates(rows).select(F.col("rid").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("rid") == F.col("component")).alias("kept"))
+    return with_doc_ids(rows, near_duplicates(rows))
+
+
+def with_doc_ids(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the doc_id of the component's kept row) and kept of ``found`` (see ``near_duplicates``)."""
+    kept = F.col("rid") == F.col("component")
+    if not rows.filter("not (rid <=> doc_id)").limit(1).count():  # no scan where keyed took rid from doc_id
+        return found.select(F.col("rid").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+    ids = rows.select("rid", "doc_id")
+    named = found.join(ids, "rid").join(ids.select(F.col("rid").alias("component"), F.col("doc_id").alias("component_id")), "component")
+    return named.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

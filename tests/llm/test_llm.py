@@ -206,6 +206,14 @@ def test_near(docs, empty, spark, sf):
     assert neardup.near_duplicates(keyed(Workspace(spark, "t"), empty)).count() == 0
 
 
+def test_near_keeps_doc_ids(spark, tmp_path):
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(70, LONG), (90, LONG + " end."), (50, other), (50, other), (None, "alone"), (30, "single")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in neardup.op10_minhash_dedup(spark, str(tmp_path)).select("doc_id", "component_id", "kept").collect()]
+    assert sorted(got, key=str) == sorted([(70, 70, True), (90, 70, False), (50, 50, True), (50, 50, False), (None, None, True), (30, 30, True)], key=str)
+
+
 def test_prefix_pairs_lose_no_link(spark):
     r = np.random.default_rng(3)
     common = list(range(1000, 1030))  # a passage of many rows
