@@ -124,11 +124,11 @@ def decode_block(bits: bytes, checkpoints: bytes, n_ids: int, table: tuple[np.nd
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit, compressed where they lie) in the order given."""
+    """doc_id, n_tokens, place (tokens before it in its partition), ids (little-endian unsigned 32-bit, compressed where they lie) in the order given."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_bpe(tokenizer)
+        encode, place = word_bpe(tokenizer), 0
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -140,13 +140,15 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 if high:
                     raise ValueError("ids of 2**24 and more are not supported")
                 width = 2 if int(flat.max()) < 1 << 16 else 3
+                ends = place + np.cumsum([len(c) for c in cells])
+                places, place = np.concatenate([[place], ends[:-1]]), int(ends[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(c) for c in cells], pa.int64()), pa.array([width] * len(cells), pa.int32()), pa.array([np.ascontiguousarray(c[:, :width]).tobytes() for c in cells], pa.binary())],
-                    ["doc_id", "n_tokens", "width", "ids"],
+                    [part.column(0), pa.array([len(c) for c in cells], pa.int64()), pa.array(places, pa.int64()), pa.array([width] * len(cells), pa.int32()), pa.array([np.ascontiguousarray(c[:, :width]).tobytes() for c in cells], pa.binary())],
+                    ["doc_id", "n_tokens", "place", "width", "ids"],
                 )
         encode.rest()
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, width int, ids binary")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, place long, width int, ids binary")
 
 
 def _ids(data: bytes, width: int) -> np.ndarray:
@@ -197,22 +199,23 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, size, block, at, keys
+            nonlocal held, size, keys
             ends = np.cumsum([len(x) for x in held])
             bits, points = encode_block(np.concatenate(held), codes, lengths)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int64()), pa.array([block], pa.int64()), pa.array([at], pa.int64()), pa.array([size], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([bits]), pa.array([points])],
                 [c.split()[0] for c in BLOCK_SCHEMA.split(", ")],
             )
-            held, size, block, at, keys = [], 0, block + 1, at + size, []
+            held, size, keys = [], 0, []
             return out
 
         for batch in batches:
-            for key, part, width, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part != shard:
-                    if size:
-                        yield flush()
-                    shard, block, at = part, 0, firsts[part]
+            for key, m, place, width, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part, start = m >> 33, firsts[m >> 33] + place
+                if size and (part != shard or start != at + size):
+                    yield flush()
+                if not size:  # a block's number is the place of its first document in the shard
+                    shard, block, at = part, m & (1 << 33) - 1, start
                 keys.append(key)
                 held.append(_ids(data, width))
                 size += len(held[-1])
@@ -221,9 +224,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
         if size:
             yield flush()
 
-    arranged = ids.select("doc_id", "shard", "width", "ids", "m")
-    # files hold one shard each; the sort only matters where Spark packs several files in a task
-    arranged.sortWithinPartitions("m").select("doc_id", "shard", "width", "ids").mapInArrow(blocks, BLOCK_SCHEMA).write.mode("overwrite").parquet(f"{path}/blocks")
+    # every row brings its own start, as Spark may read a file in splits and pack any of them in a task
+    ids.select("doc_id", "m", "place", "width", "ids").sortWithinPartitions("m").mapInArrow(blocks, BLOCK_SCHEMA).write.mode("overwrite").parquet(f"{path}/blocks")
     ws.drop("ids")
 
 

@@ -139,6 +139,26 @@ def test_binary_ids(docs, empty, spark):
     assert huffman.read(spark, ws.path("e")).count() == 0
 
 
+def test_binary_ids_of_split_files(spark):
+    r = np.random.default_rng(2)
+    docs = spark.createDataFrame([(i, " ".join(f"{x:x}" for x in r.integers(0, 1 << 30, 20))) for i in range(1500)], "doc_id long, text string").coalesce(1)
+    ws, hadoop = Workspace(spark, "t"), spark.sparkContext._jsc.hadoopConfiguration()
+    conf = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    hadoop.setInt("parquet.block.size", 4096)
+    try:
+        huffman.write(docs, ws.path("f"), tokens.public_path("word_bpe_49k.json"))
+        blocks = spark.read.parquet(ws.path("f/blocks")).select("shard", "block").collect()
+        got = sorted((x["doc_id"], x["start"], x["n_tokens"]) for x in huffman.read(spark, ws.path("f")).collect())
+    finally:
+        hadoop.unset("parquet.block.size")
+        for k in conf:
+            spark.conf.unset(k)
+    assert [i for i, _, _ in got] == list(range(1500)) and [s for _, s, _ in got] == [0, *np.cumsum([n for _, _, n in got])[:-1]]
+    assert len(blocks) == len(set(blocks)) > len({x["shard"] for x in blocks})
+
+
 def test_huffman_blocks():
     r = np.random.default_rng(0)
     counts = np.zeros(49408, np.int64)
