@@ -22,6 +22,8 @@ Empty tables give no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def valid(arguments: "F.Column", name: "F.Column", schemas: dict) -> "F.Column":
     return out
 
 
-def levels(ws: Workspace, calls: DataFrame, needs: DataFrame, rounds: int = 64) -> DataFrame:
+def levels(ws: Workspace, calls: DataFrame, needs: DataFrame) -> DataFrame:
     """conv_id, call_id, level, ready of every call that can be ordered: a level a round, by joins, while any is left."""
     ids = ["conv_id", "call_id"]
     nodes = calls.filter("conv_id is not null and call_id is not null").groupBy(*ids).agg(F.min("turn").alias("turn"))
@@ -58,12 +60,13 @@ def levels(ws: Workspace, calls: DataFrame, needs: DataFrame, rounds: int = 64)
         return done
     done = ws.save(done, "levels-0")
     left, edges, total = ws.save(nodes.join(edges, ids, "left_semi"), "left-0"), ws.save(edges, "edges"), done.count()
-    for i in range(1, rounds):
+    for i in itertools.count(1):
         from_ = done.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("l"), F.col("ready").alias("r"))
         state = edges.join(left, ids).join(from_, ["conv_id", "needs"], "left").groupBy(*ids).agg(F.min("turn").alias("turn"), F.max("l").alias("l"), F.max("r").alias("r"), F.sum(F.expr("int(l is null)")).alias("open"))
         due = state.filter("open = 0").select(*ids, (F.col("l") + 1).alias("level"), F.greatest("turn", "r").alias("ready"))
         done = ws.save(done.unionByName(due), f"levels-{i}")
         left = ws.save(left.join(done, ids, "left_anti"), f"left-{i}")
+        ws.drop(f"levels-{i - 1}", f"left-{i - 1}")
         now = done.count()
         if now == total or not left.limit(1).count():
             break

@@ -189,6 +189,14 @@ def test_tool_calls(spark):
     assert toolcalls.link(Workspace(spark, "t"), calls.limit(0), results.limit(0), needs.limit(0)).count() == 0
 
 
+def test_tool_calls_in_long_chains(spark):
+    n = 66
+    calls = spark.createDataFrame([(1, f"c{i}", i, "reply", '{"text":"x","turn":1}') for i in range(n)], "conv_id long, call_id string, turn long, name string, arguments string")
+    needs = spark.createDataFrame([(1, f"c{i + 1}", f"c{i}") for i in range(n - 1)], "conv_id long, call_id string, needs string")
+    got = {r["call_id"]: (r["level"], r["ready"]) for r in toolcalls.levels(Workspace(spark, "t"), calls, needs).collect()}
+    assert got == {f"c{i}": (i, i) for i in range(n)}
+
+
 def test_byte_bpe(docs, empty):
     path = tokens.public_path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
