@@ -57,6 +57,17 @@ def test_repo_search(spark):
     assert ids(search.search_repos(repos, chunks, " ", None, 5)) == [2, 1, 3]
 
 
+def test_letters_outside_latin1(spark):
+    texts = ["Dvořák čeština", "Őrült Šaty", "Nguyễn Việt", "cafe\u0301 no\u0308el", "한국어 が Ω", "crème brûlée", "का हिन्दी", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for query, want in (("čeština", 0), ("dvorak", 0), ("Őrült", 1), ("saty", 1), ("Việt", 2), ("nguye\u0302\u0303n", 2), ("café", 3), ("noel", 3), ("한국", 4), ("creme", 5)):
+        assert ids(fts.bm25(rows, "id", {"t": 1}, query)) == [want], query
+    db = duckdb.connect()
+    want = [db.execute(f"select {plans.TOKENS.replace('text', '?')}", [t]).fetchone()[0] for t in texts]
+    assert [r["x"] for r in rows.select("id", text.tokens(F.col("t")).alias("x")).orderBy("id").collect()] == want
+    assert sorted((r["id"], r["term"]) for r in fts.postings(rows, "id", ["t"]).collect()) == sorted((i, x) for i, w in enumerate(want) for x in w)
+
+
 def test_chunks(spark):
     line = "x" * 40 + "\n"
     rows = spark.createDataFrame([(1, ""), (2, "short"), (3, line * 200 + "MARK"), (4, None)], "id long, t string")
