@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .tokens import byte_bpe, public_path
 
 LENGTH = 2048
+NONE = (float("inf"), -1, -1)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
@@ -33,6 +34,40 @@ def cost(n: int, linear: float = 1.0, quadratic: float = 1.0 / LENGTH) -> float:
     return linear * n + quadratic * n * n
 
 
+class Free:
+    """Sequences that have room: a heap by (cost, sequence) for each room, and a tree of the heaps' heads over the rooms."""
+
+    def __init__(self, length: int):
+        self.size = 1 << length.bit_length()
+        self.heaps: list[list] = [[] for _ in range(length + 1)]
+        self.heads: list = [NONE] * (2 * self.size)
+
+    def _head(self, room: int) -> None:
+        heap, heads, i = self.heaps[room], self.heads, room + self.size
+        heads[i] = (*heap[0], room) if heap else NONE
+        while i > 1:
+            i >>= 1
+            heads[i] = min(heads[2 * i], heads[2 * i + 1])
+
+    def put(self, room: int, cost: float, sequence: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence))
+        self._head(room)
+
+    def take(self, least: int) -> tuple[float, int] | None:
+        """Takes out the sequence of lowest cost whose room is ``least`` or more; None if there is none."""
+        i = least + self.size
+        best = self.heads[i]
+        while i > 1:
+            if not i & 1:
+                best = min(best, self.heads[i + 1])
+            i >>= 1
+        if best is NONE:
+            return None
+        heapq.heappop(self.heaps[best[2]])
+        self._head(best[2])
+        return best[:2]
+
+
 def assign(lengths: list[int], length: int = LENGTH, least: int = 1) -> list[tuple[int, int, int, int, int]]:
     """(document, start, tokens, sequence, offset) of each piece; documents are indices of ``lengths``."""
     pieces, sequence = [], 0
@@ -55,42 +90,19 @@ def assign(lengths: list[int], length: int = LENGTH, least: int = 1) -> list[tup
     if tail:
         room.append(tail)
     used = [0] * len(room)
-    heap = [(0.0, s) for s in range(len(room))]
-    heapq.heapify(heap)
+    free = Free(length)
+    for s, n in enumerate(room):
+        free.put(n, 0.0, s)
     for n, d, start in rest:
-        skipped, left = [], n
-        while heap and left == n:
-            c, s = heapq.heappop(heap)
-            if room[s] - used[s] >= n:
-                pieces.append((d, start, n, sequence + s, used[s]))
-                used[s] += n
-                left = 0
-                if used[s] < room[s]:
-                    heapq.heappush(heap, (c + cost(n), s))
-            else:
-                skipped.append((c, s))
-                if len(skipped) >= 32:  # the 32 cheapest have no room for it whole: cut it over them
-                    break
-        if left:
-            for k, (c, s) in enumerate(skipped):
-                take = min(left, room[s] - used[s])
-                pieces.append((d, start + n - left, take, sequence + s, used[s]))
-                used[s] += take
-                left -= take
-                skipped[k] = (c + cost(take), s)
-                if not left:
-                    break
-            while left:
-                c, s = heapq.heappop(heap)
-                take = min(left, room[s] - used[s])
-                pieces.append((d, start + n - left, take, sequence + s, used[s]))
-                used[s] += take
-                left -= take
-                if used[s] < room[s]:
-                    heapq.heappush(heap, (c + cost(take), s))
-        for c, s in skipped:
+        left = n
+        while left:
+            c, s = free.take(left) or free.take(1)  # where it fits nowhere whole, it is cut
+            part = min(left, room[s] - used[s])
+            pieces.append((d, start + n - left, part, sequence + s, used[s]))
+            used[s] += part
+            left -= part
             if used[s] < room[s]:
-                heapq.heappush(heap, (c, s))
+                free.put(room[s] - used[s], c + cost(part), s)
     return pieces
 
 

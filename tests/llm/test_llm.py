@@ -111,6 +111,26 @@ def test_packing_wastes_little():
     assert sum(ends.values()) == sum(sizes) and sum(2048 - e for e in ends.values() if e & (e - 1)) < 64
 
 
+def test_packing_cuts_only_what_fits_nowhere():
+    r = np.random.default_rng(0)
+    sizes = (r.exponential(500, 3000) + 1).astype(int).tolist()
+    pieces = packing.assign(sizes)
+    room: dict = {}
+    for _, _, n, s, _ in pieces:
+        room[s] = room.get(s, 0) + n
+    costs = dict.fromkeys(room, 0.0)
+    for d, start, n, s, _ in pieces:
+        left = sizes[d] - start
+        if n < 2048 or room[s] < 2048:
+            fitting = [(costs[x], x) for x in room if room[x] >= left and costs[x] < float("inf")]
+            assert s == min(fitting or [(costs[x], x) for x in room if room[x]])[1]
+            assert n == left or not fitting
+        elif left >= 2048:  # a full sequence of one document
+            costs[s] = float("inf")
+        room[s] -= n
+        costs[s] += packing.cost(n)
+
+
 def test_substrings(docs, empty):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in substrings.remove_repeats(keyed(Workspace(docs.sparkSession, "t"), docs)).collect()}
     assert got == substrings.brute_force([(a, b) for a, b, _ in ROWS])
