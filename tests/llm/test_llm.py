@@ -289,6 +289,45 @@ def test_components(spark):
     assert got == want
 
 
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = {i: " ".join(f"d{i}x{j}" for j in range(30)) for i in range(40)}
+    texts |= {i: texts[i] + " you vile scumbag" * 4 for i in range(0, 40, 4)}
+    texts[41] = "a line of this text that is repeated\nand the line that follows it\n" + texts[1]
+    texts[42] = "a line of this text that is repeated\nand the line that follows it\n" + texts[2].replace("d2x", "e2x")
+    texts[43], texts[45] = texts[3] + " end", texts[5] + " " + passage
+    texts[46], texts[47], texts[48] = texts[6].replace("d6x", "e6x") + " " + passage, "", None
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in sorted(texts.items())], "doc_id long, text string, n_chars long")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    by_name, ws = dict(corpus_pipeline.STAGES), Workspace(spark, "t")
+
+    def after(name):
+        nonlocal docs
+        docs = ws.save(by_name[name](spark, docs, str(tmp_path)), name.replace(" ", "-"))
+        rows = docs.collect()
+        assert len({r["doc_id"] for r in rows}) == len(rows) and all(r["n_chars"] == len(r["text"] or "") for r in rows)
+        return {r["doc_id"]: r["text"] for r in rows}
+
+    want = {i: t for i, t in texts.items() if "scumbag" not in (t or "")}
+    assert after("toxicity") == want
+    seen: set = set()
+    for i, t in sorted(want.items()):  # no short lines here: every later copy goes
+        lines_ = (t or "").split("\n")
+        want[i] = t if t is None else "\n".join(x for x in lines_ if not x or x not in seen)
+        seen |= set(lines_)
+    assert after("line dedup") == want
+    _, label = near_brute(list(want.items()), 5)
+    want = {i: t for i, t in want.items() if label.get(i, i) == i}
+    assert 43 not in want and after("MinHash near-dedup") == want
+    brute = substrings.brute_force(list(want.items()))
+    got = after("substring dedup")
+    assert {i: hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for i, t in got.items()} == {i: x[2] for i, x in brute.items()}
+    assert all(got[i] == want[i] for i, x in brute.items() if not x[1])  # others stay as they are
+    assert sum(x[1] for x in brute.values()) > 0
+    packed = by_name["packing"](spark, docs, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert {r["doc_id"] for r in packed} == set(got) and all(r["n"] == r["all"] for r in packed)
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
