@@ -7,7 +7,9 @@ executor costs only the tasks it ran: the next stage rereads files that every no
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,14 +28,30 @@ _made: dict[str, SparkSession] = {}
 
 # ---------------------------------------------------------------- staged tables
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is configured (tests)."""
+    """The cluster's shared folder. Where none is configured, a temporary one is set, but only on a local master."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="sparkfind-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
 
 
+@contextlib.contextmanager
+def options(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session options (dots written as __) for the plans made inside."""
+    names = {k: k.replace("__", ".") for k in values}
+    before = {k: spark.conf.get(n, None) for k, n in names.items()}
+    for k, v in values.items():
+        spark.conf.set(names[k], v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(names[k]) if v is None else spark.conf.set(names[k], v)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -74,10 +92,18 @@ class Workspace:
 
 
 # ---------------------------------------------------------------- row keys
-def range_ordinals(ws: Workspace, df: DataFrame, keys: list[str], name: str, ordinal: str = "ordinal") -> DataFrame:
+#: Rows that one task takes where more tasks would cost more than they save.
+FEW_ROWS = 50_000
+
+
+def range_ordinals(ws: Workspace, df: DataFrame, keys: list[str], name: str, ordinal: str = "ordinal", few: bool = False) -> DataFrame:
     """``df`` with a dense 0-based ordinal in the order of ``keys``: a range sort, then one offset a partition.
 
-    Only one count per partition reaches the driver."""
+    Only one count per partition reaches the driver. ``few``: df has
+    at most ``FEW_ROWS`` rows and differs in its keys; it is ranked by one task and not written."""
+    if few:
+        ordered = df.coalesce(1).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
+        return ordered.withColumn(ordinal, F.monotonically_increasing_id())  # of one task: 0, 1, 2, ...
     ordered = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
     with_part = ordered.withColumn("_m", F.monotonically_increasing_id())
     table = ws.save(with_part, name)
@@ -92,11 +118,13 @@ def range_ordinals(ws: Workspace, df: DataFrame, keys: list[str], name: str, ord
 
 
 def keyed(ws: Workspace, docs: DataFrame, whole: bool = False) -> DataFrame:
-    """Columns rid, doc_id, text (and with ``whole`` the struct row, all columns of ``docs``). ``rid``
-    is doc_id where doc_ids are unique and not null; else an ordinal by (doc_id, text), nulls first,
-    so repeated rows and null ids keep a defined order. Null text is the empty text."""
+    """Columns rid, doc_id, text (and with ``whole`` what ``restored`` needs: row, the other columns of
+    ``docs``, and blank, whether the text is null). ``rid`` is doc_id where doc_ids are unique and not
+    null; else an ordinal by (doc_id, text), nulls first, so repeated rows and null ids keep a defined
+    order. Null text is the empty text."""
     odd = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("count > 1 or doc_id is null").limit(1).count()
-    row = [F.struct(*docs.columns).alias("row")] * whole
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    row = [F.struct(*others).alias("row"), F.col("text").isNull().alias("blank")] if whole else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *row)
     if not odd:
         return rows.select(F.col("doc_id").alias("rid"), *rows.columns)
@@ -104,6 +132,16 @@ def keyed(ws: Workspace, docs: DataFrame, whole: bool = False) -> DataFrame:
     return ranked.select("rid", *rows.columns)
 
 
+def restored(found: DataFrame, columns: list[str]) -> DataFrame:
+    """The ``columns`` of rows that ``keyed`` took whole, with the text (and n_chars) that ``found``
+    (n_removed, kept_text, row, blank) leaves; rows without removals as they were."""
+    same = F.col("n_removed") == 0
+    values = {"text": F.when(~(same & F.col("blank")), F.col("kept_text"))}
+    if "n_chars" in columns:
+        values["n_chars"] = F.when(same, F.col("row.n_chars")).otherwise(F.length("kept_text"))
+    return found.select(*[values[c].alias(c) if c in values else F.col(f"row.`{c}`") for c in columns])
+
+
 # ---------------------------------------------------------------- Arrow text and word hashes
 def text_chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) over an Arrow string column; null counts as empty."""
@@ -149,10 +187,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers(base, size)[:n]
 
 
-BYTE_BASE, RUN_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+RUN_BASE, CHECK_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Keys of the two word hashes, and the longest word (bytes) that the vector path takes.
+LANES, BLOCK_WORD = (0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB), 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x2545F4914F6CDD1D))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -172,13 +211,31 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    n = len(buf)
-    table = _TABLE[_LOWER] if lower else _TABLE
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(table[buf] * powers(BYTE_BASE, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(pow(BYTE_BASE, -1, 1 << 64), n)[starts] + (ends - starts).astype(U64))
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, lanes: int = 1) -> np.ndarray:
+    """Hashes of 64 bits of each word's bytes, a row for each lane; lanes are independent of each other.
+
+    A word is hashed in blocks of 8 bytes, each mixed into what came before under the lane's key, so no
+    arithmetic relation between words makes hashes collide. Longer words take a keyed cryptographic hash."""
+    data = np.zeros(len(buf) + 8, np.uint8)
+    data[: len(buf)] = _LOWER[buf] if lower else buf
+    at = np.ndarray((len(buf) + 1,), "<u8", data, 0, (1,))  # the 8 bytes from each place on
+    size = ends - starts
+    out = np.empty((lanes, len(starts)), U64)
+    for lane in range(lanes):
+        out[lane] = mix(size.astype(U64) + U64(LANES[lane]))
+    longest = int(min(size.max(initial=0), BLOCK_WORD))
+    live = np.arange(len(starts))
+    for i in range(0, longest, 8):
+        if i:
+            live = live[size[live] > i]
+        left = np.minimum(size[live] - i, 8).astype(U64)
+        block = at[starts[live] + i] & (~U64(0) >> (U64(64) - left * U64(8)))
+        for lane in range(lanes):
+            out[lane, live] = mix((out[lane, live] ^ block) * U64(LANES[lane]) + U64(LANES[1 - lane]))
+    for w in np.flatnonzero(size > BLOCK_WORD).tolist():
+        word = data[starts[w] : ends[w]].tobytes()
+        out[:, w] = np.frombuffer(hashlib.blake2b(word, digest_size=16, key=b"word").digest(), "<u8")[:lanes]
+    return out
 
 
 def run_hashes(w: np.ndarray, k: int, base: int = RUN_BASE) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +25,14 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(ws: Workspace, links: DataFrame, name: str, most: int = 60) -> DataFrame:
+def connected_components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
     """node, label (the least node of its component) for every node of ``links`` (a, b).
 
     Each round is written to the shared folder, which cuts the lineage; only a count and a checksum
     reach the driver. Ends when a round changes nothing."""
     edges = ws.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"cc-{name}-0")
     seen = None
-    for i in range(1, most):
+    for i in itertools.count(1):
         # the last table is a forest of stars when both steps leave it as it is
         edges = ws.save(_small(_large(edges)), f"cc-{name}-{i}")
         ws.drop(f"cc-{name}-{i - 1}")

@@ -3,15 +3,16 @@
 A line is what stands between line feeds; lines of white space only (``[\\x20\\x09-\\x0D]``) have no
 place in the sequence and always stay. Ranks are those of a suffix array's prefixes: at level 0 of a
 line's identifier, at level j + 1 of the pair of ranks at a suffix and 2**j lines on. Suffixes of equal
-rank at level j are an interval of the array whose longest common prefix is at least 2**j lines;
-a rank that one suffix alone has leaves the doubling, as nothing longer can repeat there. In each
-interval all but the first suffix in the order (row, place) start a later copy of a repeated run.
+rank at level j are an interval of the array whose longest common prefix is at least 2**j lines; a rank
+that one suffix alone has leaves the doubling, as nothing longer can repeat there. Doubling goes on
+until no rank repeats. Then the intervals are lengthened by the lower powers of two, from the top
+(``maximal_runs``): what is left of each suffix is its longest common prefix with any other, so the
+length of the maximal repeated run that begins there.
 
-A line is deleted if it lies in a later copy of a run of ``min_lines`` lines or more (two intervals of
-the largest power of two below that overlap), or is itself a later copy and has ``long_line``
-characters: short lines alone ("The end.") stay. Deletion is judged on the input, so the first copy of
-every run stays whole. ``report_runs`` doubles until nothing repeats and tells each row's longest later
-copy (a power of two of lines, rounded down); otherwise doubling ends once it reaches min_lines.
+A line is deleted if it lies in a later copy of a run of ``min_lines`` lines or more (all but the first
+suffix of an interval, in the order of row and place, start one; runs of min_lines cover all longer
+ones), or is itself a later copy and has ``long_line`` characters: short lines alone ("The end.") stay.
+Deletion is judged on the input, so the first copy of every run stays whole.
 
 Counts and firsts are pre-aggregated; joins back to a rank's occurrences are plain equi-joins that
 Spark splits where a rank is hot. Null text: no lines, kept as empty. Ids: ``common.keyed``.
@@ -20,12 +21,14 @@ Spark splits where a rank is hot. Null text: no lines, kept as empty. Ids: ``com
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Workspace, keyed, range_ordinals, schema_columns
+from .common import FEW_ROWS, Workspace, keyed, range_ordinals, schema_columns
 
 MIN_LINES, LONG_LINE = 2, 20
 NOT_BLANK = r"[^\x20\x09-\x0D]"
@@ -38,72 +41,114 @@ def line_table(rows: DataFrame) -> DataFrame:
     return lines.select("rid", "p", F.col("s.i").alias("i"), F.xxhash64(F.lit(1), "s.x").alias("h1"), F.xxhash64(F.lit(2), "s.x").alias("h2"), F.length("s.x").alias("chars"))
 
 
-def ranked(ws: Workspace, suffixes: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, bool]:
-    """The suffixes whose keys repeat, with rank (dense, in the order of the keys) and later (not the first of its rank)."""
+def ranked(ws: Workspace, suffixes: DataFrame, keys: list[str], name: str, few: bool = False) -> tuple[DataFrame, int]:
+    """The suffixes whose keys repeat, with rank (dense, in the order of the keys) and later (not the first of its rank); and their number."""
     # per text first: of one text's copies the first place counts
     once = suffixes.groupBy(*keys, "rid").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("n"))
     classes = once.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("rid").alias("rid0"), F.min_by("p", "rid").alias("p0")).filter("n > 1").drop("n")
-    ranks = range_ordinals(ws, classes, keys, f"ranks-{name}", "rank")
+    ranks = range_ordinals(ws, classes, keys, f"ranks-{name}", "rank", few)
     found = suffixes.join(ranks, keys).withColumn("later", ~((F.col("rid") == F.col("rid0")) & (F.col("p") == F.col("p0")))).drop("rid0", "p0", *keys)
     table = ws.save(found, f"level-{name}")
-    ws.drop(f"ranks-{name}")
-    return table, table.limit(1).count() > 0
+    if not few:
+        ws.drop(f"ranks-{name}")
+    n = table.count()
+    return (table.coalesce(1) if n <= FEW_ROWS else table), n
+
+
+def pairs_of(level: DataFrame, step: int) -> DataFrame:
+    """rid, p, r1, r2: each suffix of a level with its rank and that of the suffix ``step`` lines on."""
+    shifted = level.select("rid", (F.col("p") - step).alias("p"), F.col("rank").alias("r2"))
+    return level.select("rid", "p", F.col("rank").alias("r1")).join(shifted, ["rid", "p"])
+
+
+def maximal_runs(ws: Workspace, levels: list[DataFrame]) -> DataFrame:
+    """rid, p, run: the longest run that begins at each suffix of ``levels`` (widths 1, 2, 4, ...) and is elsewhere too.
+
+    From the top level down, intervals of each width (``held``: rid, p, c for the interval, width) are cut by
+    the next lower power's rank behind them. Parts of several suffixes are longer intervals; the interval
+    itself is held on only while some suffix is in none of these."""
+    runs = [levels[0].select("rid", "p", F.lit(1).alias("run"))]
+    held = None
+    for j in range(len(levels) - 1, -1, -1):
+        if held is not None:
+            behind = levels[j].select("rid", F.col("p").alias("at"), F.col("rank").alias("r"))
+            tried = held.withColumn("at", F.col("p") + F.col("width")).join(behind, ["rid", "at"], "left").drop("at")
+            sizes = tried.groupBy("c", "r").agg(F.count(F.lit(1)).alias("n")).withColumn("more", F.col("r").isNotNull() & (F.col("n") > 1))
+            told = tried.join(sizes.filter("more").select("c", "r", "more"), ["c", "r"], "left").join(sizes.groupBy("c").agg(F.max(~F.col("more")).alias("stuck")), "c")
+            told = told if few else ws.save(told, f"told-{j}")
+            held = told.filter("more").select("rid", "p", F.concat_ws("/", "c", F.lit(str(j)), F.col("r").cast("string")).alias("c"), (F.col("width") + (1 << j)).alias("width"))
+            runs.append(held.select("rid", "p", F.col("width").alias("run")))
+            held = held.unionByName(told.filter("stuck").select("rid", "p", "c", "width"))
+        if j:
+            whole = levels[j].select("rid", "p", F.concat_ws("/", F.lit(str(j)), F.col("rank").cast("string")).alias("c"), F.lit(1 << j).alias("width"))
+            runs.append(whole.select("rid", "p", F.col("width").alias("run")))
+            if j + 1 < len(levels):  # intervals of which doubling took every suffix on are held there
+                open_ = whole.join(levels[j + 1], ["rid", "p"], "left_anti").select("c").distinct()
+                whole = whole.join(open_, "c", "left_semi").select("rid", "p", "c", "width")
+            held = whole if held is None else held.unionByName(whole)
+            # the name of an interval: 128 bits for its path of ranks
+            held = ws.save(held.select("rid", "p", F.md5(F.col("c").cast("binary")).alias("c"), "width"), f"held-{j}")
+            few = held.count() <= FEW_ROWS
+            held = held.coalesce(1) if few else held
+    return reduce(DataFrame.unionByName, runs).groupBy("rid", "p").agg(F.max("run").alias("run"))
 
 
 def repeated_lines(rows: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE, report_runs: bool = False) -> DataFrame:
-    """rid, deleted (line numbers) of every row with deleted lines; with report_runs also longest_run."""
+    """rid, deleted (line numbers) of every row with deleted lines; with report_runs also longest_run: lines
+    of the longest run in the row that is elsewhere too (in it or in another), for every row that has one."""
     ws = Workspace(rows.sparkSession, "lines")
-    level, some = ranked(ws, line_table(rows), ["h1", "h2"], "0")
-    places = level.select("rid", "p", "i")
-    marks = [level.filter((F.col("chars") >= long_line) | F.lit(min_lines <= 1)).filter("later").select("rid", "i")]
-    runs = [level.filter("later").select("rid", F.lit(1).alias("run"))]
-    current, width, j = level.select("rid", "p", "rank", "later"), 1, 0
-    while some and (width < min_lines or report_runs):
-        step = min(width, min_lines - width) if width < min_lines else width
-        shifted = current.select("rid", (F.col("p") - step).alias("p"), F.col("rank").alias("r2"))
-        pairs = current.select("rid", "p", F.col("rank").alias("r1")).join(shifted, ["rid", "p"])
-        j, width = j + 1, width + step
-        current, some = ranked(ws, pairs, ["r1", "r2"], str(j))
-        runs.append(current.filter("later").select("rid", F.lit(width).alias("run")))
-        if width == min_lines:
-            covered = current.filter("later").select("rid", F.explode(F.sequence("p", F.col("p") + (width - 1))).alias("p")).distinct()
-            marks.append(covered.join(places, ["rid", "p"]).select("rid", "i"))
-    gone = marks[0]
-    for more in marks[1:]:
-        gone = gone.unionByName(more)
+    first, n = ranked(ws, line_table(rows), ["h1", "h2"], "0")
+    places = first.select("rid", "p", "i")
+    gone = first.filter((F.col("chars") >= long_line) | F.lit(min_lines <= 1)).filter("later").select("rid", "i")
+    levels, most = [first.select("rid", "p", "rank", "later")], min_lines.bit_length() - 1
+    while n and (report_runs or len(levels) <= most):
+        level, n = ranked(ws, pairs_of(levels[-1], 1 << (len(levels) - 1)), ["r1", "r2"], str(len(levels)), n <= FEW_ROWS)
+        levels += [level] * (n > 0)
+    if 0 < most < len(levels):
+        exact = levels[most]
+        if step := min_lines - (1 << most):  # two overlapping runs of the power of two below
+            exact = ranked(ws, pairs_of(exact, step), ["r1", "r2"], "exact")[0]
+        covered = exact.filter("later").select("rid", F.explode(F.sequence("p", F.col("p") + (min_lines - 1))).alias("p")).distinct()
+        gone = gone.unionByName(covered.join(places, ["rid", "p"]).select("rid", "i"))
     out = gone.groupBy("rid").agg(F.collect_set("i").alias("deleted"))
     if report_runs:
-        longest = runs[0]
-        for more in runs[1:]:
-            longest = longest.unionByName(more)
-        out = longest.groupBy("rid").agg(F.max("run").alias("longest_run")).join(out, "rid", "full")
+        out = maximal_runs(ws, levels).groupBy("rid").agg(F.max("run").alias("longest_run")).join(out, "rid", "full")
     return ws.save(out, "deleted")
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    white = " \t\n\x0b\x0c\r"
-    for batch in batches:
-        text, deleted = schema_columns(batch, "text", "deleted")
-        total, removed, kept = [], [], []
-        for t, d in zip(text.to_pylist(), deleted.to_pylist(), strict=True):
-            lines = t.split("\n")
-            gone = set(d or ())
-            total.append(sum(1 for x in lines if x.strip(white)))
-            removed.append(len(gone))
-            kept.append("\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else t)
-        rid, doc_id = schema_columns(batch, "rid", "doc_id")
-        yield pa.RecordBatch.from_arrays([rid, doc_id, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["rid", "doc_id", "n_lines", "n_removed", "kept_text"])
-
-
-def remove_lines(rows: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE) -> DataFrame:
-    """rid, doc_id, n_lines (not blank), n_removed, kept_text for every one of ``rows`` (rid, doc_id, text)."""
-    marked = rows.join(repeated_lines(rows, min_lines, long_line).hint("shuffle_hash"), "rid", "left")
-    return marked.select("rid", "doc_id", "text", "deleted").mapInArrow(_apply, "rid long, doc_id long, n_lines long, n_removed long, kept_text string")
+def _apply(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        white = " \t\n\x0b\x0c\r"
+        for batch in batches:
+            text, deleted = schema_columns(batch, "text", "deleted")
+            total, removed, kept = [], [], []
+            for t, d in zip(text.to_pylist(), deleted.to_pylist(), strict=True):
+                lines = t.split("\n")
+                gone = set(d or ())
+                total.append(sum(1 for x in lines if x.strip(white)))
+                removed.append(len(gone))
+                kept.append("\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else t)
+            made = {"n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(batch.schema.get_field_index(c)) for c in names], names)
+
+    return run
+
+
+def remove_lines(rows: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE, report_runs: bool = False) -> DataFrame:
+    """n_lines (not blank), n_removed, kept_text (with report_runs also longest_run) for every one of ``rows`` (rid, text), with all its columns but text."""
+    found = repeated_lines(rows, min_lines, long_line, report_runs)
+    marked = rows.join(found.hint("shuffle_hash"), "rid", "left")
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    if report_runs:
+        marked = marked.withColumn("longest_run", F.coalesce("longest_run", F.lit(0)).cast("long"))
+        kept.append(StructField("longest_run", LongType()))
+    schema = StructType([*kept, StructField("n_lines", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
+    return marked.mapInArrow(_apply(schema.names), schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_lines(keyed(Workspace(spark, "op9"), spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    found = remove_lines(keyed(Workspace(spark, "op9"), spark.read.parquet(f"{sf_dir}/documents.parquet")), report_runs=True)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "longest_run")
 
 
 OP9_SQL = f"""
@@ -116,6 +161,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) > 1 AS
 g AS (SELECT doc_id, i, (one AND length(line) >= {LONG_LINE}) OR two OR coalesce(lag(two) OVER (PARTITION BY doc_id ORDER BY p), false) AS gone FROM r),
 k AS (SELECT x.doc_id, count(g.i) AS n_lines, coalesce(sum(CAST(g.gone AS INT)), 0) AS n_removed,
       coalesce(string_agg(x.line, chr(10) ORDER BY x.i) FILTER (WHERE NOT coalesce(g.gone, false)), '') AS kept
-      FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY x.doc_id)
-SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM k
+      FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY x.doc_id),
+e AS (SELECT a.doc_id AS da, b.doc_id AS db, a.p - b.p AS apart, a.p AS p FROM y a JOIN y b ON a.line = b.line AND (a.doc_id <> b.doc_id OR a.p <> b.p)),
+m AS (SELECT *, p - row_number() OVER (PARTITION BY da, db, apart ORDER BY p) AS island FROM e),
+w AS (SELECT da, max(n) AS longest_run FROM (SELECT da, count(*) AS n FROM m GROUP BY da, db, apart, island) GROUP BY da)
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run FROM k LEFT JOIN w ON w.da = k.doc_id
 """

@@ -13,14 +13,15 @@ that depends on the set's size are made (about m ln m per set, not m per element
    of n comparisons and no bucket is expanded into pairs. Buckets go by pre-aggregated minima.
 3. A pair's similarity is estimated by the likelihood of its registers (how many are greater, less
    and equal, with both set sizes known); pairs that are implausible at the threshold by more than
-   ``DOUBT`` log units are left out, all others are verified on their full sets.
+   ``DOUBT`` log units are left out, all others are verified on the words of both whole texts.
 4. Links give components by alternating star contraction. Buckets that still hold several components
    are then compared across components, so no link between different texts is lost to the choice of
    representatives. Only pairs that share one of their rarest shingles are made, which every pair at
-   the threshold does (``prefix_pairs``): a passage that many texts have makes no pairs.
+   the threshold does (``prefix_pairs``): a passage that many texts have makes no pairs. All of them
+   are verified without an estimate, those that step 3 left out among them.
 
-At similarity 0.8 a pair shares no bucket with probability below 1e-9. Nulls and texts without words
-have an empty set and no links. Null or repeated ids: see ``common.keyed``. Empty table: no rows.
+At similarity 0.8 a pair shares no bucket with probability below 1e-8. Nulls and texts without words
+have an empty set and no links. Sets are counted, and equal sets found, by hashes of 64 and 128 bits. Null or repeated ids: see ``common.keyed``. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Workspace, keyed, mix, run_hashes, schema_columns, signed, text_chunks, word_hashes, words
+from .common import CHECK_BASE, U64, Workspace, keyed, mix, run_hashes, schema_columns, signed, text_chunks, word_hashes, words
 from .components import connected_components
 
 BASE, SHIFT, TOP = 1.2, 40, 254
@@ -45,25 +46,34 @@ SALTED = 256
 SKETCH = "rid long, n_shingles long, d1 long, d2 long, registers binary"
 
 
-def shingle_sets(w: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, sorted, as (row, hash); a text of fewer words than k has its whole sequence."""
+def shingle_sets(lanes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, sorted, as (row, hash, the second lane's hash); a text of fewer words than k has its whole sequence."""
+    w, check = lanes
     counts = np.diff(first)
     row = np.repeat(np.arange(len(counts)), counts)
-    g = run_hashes(w, k)
+    g, check_g = run_hashes(w, k), run_hashes(check, k, CHECK_BASE)
     ends = first[1:][row] if len(row) else first[:0]
     whole = np.flatnonzero(np.arange(len(g)) + k <= ends[: len(g)])
-    rows, hashes = [row[whole]], [g[whole]]
+    rows, hashes, checks = [row[whole]], [g[whole]], [check_g[whole]]
     for n in range(1, k):  # short texts
         short = np.flatnonzero(counts == n)
         if len(short):
             rows.append(short)
-            hashes.append(run_hashes(w, n)[first[:-1][short]] ^ U64(n))
-    rows, hashes = np.concatenate(rows), np.concatenate(hashes)
+            at = first[:-1][short]
+            hashes.append(run_hashes(w, n)[at] ^ U64(n))
+            checks.append(run_hashes(check, n, CHECK_BASE)[at] ^ U64(n))
+    rows, hashes, checks = np.concatenate(rows), np.concatenate(hashes), np.concatenate(checks)
     order = np.lexsort((hashes, rows))
     rows, hashes = rows[order], hashes[order]
     fresh = np.ones(len(rows), bool)
     fresh[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
-    return rows[fresh], hashes[fresh]
+    return rows[fresh], hashes[fresh], checks[order][fresh]
+
+
+def shingles_of(text: str, k: int) -> set[tuple]:
+    """The shingles themselves."""
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    return set(zip(*[w[i:] for i in range(k)])) if len(w) >= k else {tuple(w)} if w else set()
 
 
 def registers(rows: np.ndarray, hashes: np.ndarray, n_rows: int, m: int = REGISTERS) -> np.ndarray:
@@ -104,11 +114,11 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return key
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray, np.ndarray]]:
     rid, text = schema_columns(batch, "rid", "text")
     for i, j, buf, off in text_chunks(text, 1 << 20):
         starts, ends, first = words(buf, off)
-        yield rid.slice(i, j - i), j - i, *shingle_sets(word_hashes(buf, starts, ends, lower=True), first, k)
+        yield rid.slice(i, j - i), j - i, *shingle_sets(word_hashes(buf, starts, ends, lower=True, lanes=2), first, k)
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
@@ -116,13 +126,13 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, n, rows, hashes in _sets(batch, k):
+            for rid, n, rows, hashes, checks in _sets(batch, k):
                 regs = registers(rows, hashes, n)
                 sizes = np.bincount(rows, minlength=n)
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
                 sums = []
-                for salt in (1, 2):  # order-free digests: sums of remixed hashes
-                    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(hashes + U64(salt * 0x632BE59BD9B4E019 & (1 << 64) - 1)), dtype=U64)])
+                for lane in (hashes, checks):  # order-free digests: sums of remixed hashes
+                    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(lane + U64(0x632BE59BD9B4E019)), dtype=U64)])
                     sums.append(signed(total[cuts[1:]] - total[cuts[:-1]]))
                 yield pa.RecordBatch.from_arrays([rid, pa.array(sizes.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array([x.tobytes() for x in regs], pa.binary())], [c.split()[0] for c in SKETCH.split(", ")])
 
@@ -134,7 +144,7 @@ def shingles(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, n, rows, hashes in _sets(batch, k):
+            for rid, n, rows, hashes, _ in _sets(batch, k):
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
                 yield pa.RecordBatch.from_arrays([rid, pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(signed(hashes)))], ["rid", "shingles"])
 
@@ -189,35 +199,53 @@ def _estimate(threshold: float):
     return run
 
 
-def verify(ws: Workspace, pairs: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b), on their full sets. Pairs of an a that has many are salted by b."""
+def likely(ws: Workspace, pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, salt) whose registers allow the threshold."""
     small = sketched.select("rid", "n_shingles", "registers")
-    left = small.select(F.col("rid").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
+    left = salted_rows(ws, pairs, small.select(F.col("rid").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra")))
     right = small.select(F.col("rid").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-    joined = pairs.join(left, "a").join(right, "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    likely = ws.save(joined.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_estimate(percent / 100), "a long, b long"), f"likely-{name}")
-    # the set of a is sent once for each salt (one for SALTED pairs), not once for each pair
-    salts = likely.groupBy("a").agg((F.floor(F.count(F.lit(1)) / SALTED) + 1).alias("salts"))
-    salted = likely.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    firsts = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt")).join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a")
-    seconds = salted.select("a", "b", "salt").join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = seconds.join(firsts, ["a", "salt"])
-    links = ws.save(both.select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a long, b long"), f"links-{name}")
-    ws.drop(f"likely-{name}")
+    joined = pairs.join(right, "b").join(left, ["a", "salt"]).filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return joined.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_estimate(percent / 100), "a long, b long")
+
+
+def salted(ws: Workspace, pairs: DataFrame, name: str) -> DataFrame:
+    """``pairs`` (a, b), written, with a salt by b: as many salts for an a as it has ``SALTED`` pairs."""
+    pairs = ws.save(pairs.select("a", "b"), f"plain-{name}")
+    counts = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / SALTED) + 1).cast("int").alias("salts")).filter("salts > 1")
+    many = ws.save(counts, f"many-{name}")  # few: one a for SALTED pairs at most, so Spark sends them around where they fit
+    return pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+
+
+def salted_rows(ws: Workspace, pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (a and more) for each salt that ``pairs`` has with their a."""
+    return pairs.select("a", "salt").distinct().join(rows, "a")
+
+
+def verify(ws: Workspace, pairs: DataFrame, rows: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """The linked ones of ``pairs`` (a, b, salt), on the words of both whole texts of ``rows`` (rid, text)."""
+    some = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+    texts = ws.save(rows.select("rid", "text").join(some.hint("shuffle_hash"), "rid", "left_semi"), f"texts-{name}")
+    # the text of a is sent once for each salt (one for SALTED pairs), not once for each pair
+    left = salted_rows(ws, pairs, texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")))
+    right = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    both = right.hint("merge").join(left, ["a", "salt"])
+    links = ws.save(both.select("a", "b", "ta", "tb").mapInArrow(_linked(k, percent), "a long, b long"), f"links-{name}")
+    ws.drop(f"texts-{name}")
     return links
 
 
-def _linked(percent: int):
+def _linked(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, set()
         for batch in batches:
-            a, b, sa, sb = schema_columns(batch, "a", "b", "sa", "sb")
+            a, b, ta, tb = schema_columns(batch, "a", "b", "ta", "tb")
             ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (c[i].values.to_numpy(zero_copy_only=False) for c in (sa, sb))
-                both = np.concatenate([x.view(np.uint64), y.view(np.uint64)])
-                both.sort()  # two sorted sets: a repeated value is common
-                common = int((both[1:] == both[:-1]).sum())
-                ok[i] = 100 * common >= percent * (len(both) - common)
+            for i, key in enumerate(a.to_pylist()):
+                if key != last:
+                    last, x = key, shingles_of(ta[i].as_py(), k)
+                y = shingles_of(tb[i].as_py(), k)
+                common = len(x & y)
+                ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], ["a", "b"])
 
     return run
@@ -229,8 +257,7 @@ def prefix_pairs(ws: Workspace, nodes: DataFrame, sets: DataFrame, percent: int)
     A set's shingles stand in the order (rows that have it, hash), rarest first. Two sets of the
     threshold share one of each one's first ``n - ceil(t n) + 1``, and from the first shared one on
     enough are left. Shingles of one row alone only count for the places of the others."""
-    held = sets.join(nodes, "rid", "left_semi")
-    each = held.select("rid", F.explode("shingles").alias("s"))
+    each = sets.select("rid", F.explode("shingles").alias("s"))
     shared = ws.save(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
     ranked = each.join(shared, "s").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("ranked"))
     ranked = ranked.join(nodes, "rid")
@@ -255,17 +282,21 @@ def near_duplicates(rows: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     chosen = ws.save(chosen.select("bucket", "rep"), "chosen")
     members = ws.save(buckets.join(chosen, "bucket").select("rid", "bucket", "rep"), "members")
     ws.drop("chosen")
-    sets = ws.save(shingles(rows.join(members.select("rid").distinct(), "rid", "left_semi"), k), "shingles")
-    pairs = ws.save(members.filter("rid <> rep").select(F.least("rid", "rep").alias("a"), F.greatest("rid", "rep").alias("b")).distinct(), "pairs")
-    links = verify(ws, pairs, heads, sets, percent, "first")
+    pairs = salted(ws, members.filter("rid <> rep").select(F.least("rid", "rep").alias("a"), F.greatest("rid", "rep").alias("b")).distinct(), "first")
+    tested = salted(ws, likely(ws, pairs, heads, percent), "likely")
+    links = verify(ws, tested, rows, k, percent, "first")
     labels = connected_components(ws, links, "first")
     # what representatives left open: buckets that hold several components
     tagged = members.select("rid", "bucket").join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     mixed = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
     rest = tagged.join(mixed, "bucket")
     nodes = ws.save(rest.groupBy("rid").agg(F.min("label").alias("label")).join(heads.select("rid", F.col("n_shingles").alias("n")), "rid"), "open")
+    ws.drop("members")
+    sets = ws.save(shingles(rows.select("rid", "text").join(nodes.select("rid").hint("shuffle_hash"), "rid", "left_semi"), k), "shingles")
     across = prefix_pairs(ws, nodes, sets, percent)
-    more = verify(ws, ws.save(across.join(pairs, ["a", "b"], "left_anti"), "untested"), heads, sets, percent, "rest")
+    untested = salted(ws, across.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    ws.drop("shingles", "shared", "prefix")
+    more = verify(ws, untested, rows, k, percent, "rest")
     if more.limit(1).count():
         labels = connected_components(ws, links.unionByName(more), "second")
     by_class = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "class").alias("component"))

@@ -6,13 +6,14 @@ repeat are gathered:
 1. Anchors. Of the k/2-word hashes in each window the least is its anchor (winnowing); equal windows
    choose equal anchors. One aggregate over anchors tells those that occur once; a window whose
    anchor does cannot repeat, and goes no further.
-2. Edges. The other windows meet by a 128-bit key (two independent hashes), the first in the order
-   (row, position) is the edge's source. Copies inside a text and inside a task meet before the shuffle.
-3. Paths. Edges whose sources follow each other in a text, with no branch in number of copies
-   between them, compact into one path: source row, start, number of edges, copies. A join by
-   source row brings paths to their texts.
-4. Coordinates. In each text the candidate windows that no source coordinate of a path explains are
-   later copies; every word they cover is removed.
+2. Edges. The other windows meet by a key of 128 bits (two hashes, each from the words' bytes on its
+   own), the first in the order (row, position) is the edge's source. Copies inside a text and inside
+   a task meet before the shuffle.
+3. Paths. An edge goes on without a branch where the edge at its source's next position has as many
+   copies. Two joins of the edges by source coordinates tell those that nothing goes on to (a path's
+   first) and that go on to nothing (its last); together they give source row, start, number of edges.
+4. Coordinates. A join by source row brings paths to their texts. There the candidate windows that no
+   source coordinate of a path explains are later copies; every word they cover is removed.
 
 So nothing but counts, minima and source coordinates is exchanged; no list of a window's
 occurrences is ever gathered, however frequent it is. Nulls have no words. Ids: ``common.keyed``
@@ -28,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import CHECK_BASE, U64, Workspace, keyed, mix, run_hashes, schema_columns, signed, text_chunks, word_hashes, words
+from .common import CHECK_BASE, U64, Workspace, keyed, options, run_hashes, schema_columns, signed, text_chunks, word_hashes, words
 
 WORDS = 20
 
@@ -50,7 +52,7 @@ class Windows:
     def __init__(self, buf: np.ndarray, off: np.ndarray, k: int):
         self.buf, self.k, self.short = buf, k, k // 2
         self.starts, self.ends, self.first = words(buf, off)
-        self.w = word_hashes(buf, self.starts, self.ends)
+        self.w, self.check = word_hashes(buf, self.starts, self.ends, lanes=2)
         counts = np.diff(self.first)
         self.row = np.repeat(np.arange(len(counts)), counts)
         n = len(self.w)
@@ -109,7 +111,7 @@ def _edges(k: int):
                 at = c.candidates(_positions(once.slice(i, j - i).to_pylist(), c.first))
                 if not len(at):
                     continue
-                h, check = run_hashes(c.w, k)[at], run_hashes(mix(c.w), k, CHECK_BASE)[at]
+                h, check = run_hashes(c.w, k)[at], run_hashes(c.check, k, CHECK_BASE)[at]
                 rows = rid[i + c.row[at]]
                 pos = at - c.first[c.row[at]]
                 order = np.lexsort((pos, rows, check, h))  # the first copy of each edge in the chunk
@@ -122,20 +124,19 @@ def _edges(k: int):
     return run
 
 
-def _cover(k: int):
+def _cover(k: int, schema: list[str], verbatim: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, doc_id, text, once, paths = schema_columns(batch, "rid", "doc_id", "text", "once", "paths")
+            text, once, firsts, lasts = schema_columns(batch, "text", "once", "firsts", "lasts")
             for i, j, buf, off in text_chunks(text):
                 c = Windows(buf, off, k)
                 at = c.candidates(_positions(once.slice(i, j - i).to_pylist(), c.first))
                 n = len(c.w)
                 copy = np.zeros(n + 1, bool)
                 copy[at] = True
-                for row, runs in enumerate(paths.slice(i, j - i).to_pylist()):
-                    for p in runs or ():
-                        a = c.first[row] + p["start"]
-                        copy[a : a + p["n_edges"]] = False
+                for row, (begin, end) in enumerate(zip(firsts.slice(i, j - i).to_pylist(), lasts.slice(i, j - i).to_pylist(), strict=True)):
+                    for a, b in zip(begin or (), end or (), strict=True):  # a path's edges are the first of their kind
+                        copy[c.first[row] + a : c.first[row] + b + 1] = False
                 found = np.flatnonzero(copy[:n])
                 marks = np.zeros(n + 1, np.int64)
                 np.add.at(marks, found, 1)
@@ -143,50 +144,52 @@ def _cover(k: int):
                 gone = np.cumsum(marks)[:n] > 0
                 sizes, removed, kept = [], [], []
                 raw = buf.tobytes()
-                for a, b in zip(c.first[:-1], c.first[1:], strict=True):
+                for row, (a, b) in enumerate(zip(c.first[:-1], c.first[1:], strict=True)):
                     cut = gone[a:b]
                     sizes.append(int(b - a))
                     removed.append(int(cut.sum()))
+                    if verbatim and not removed[-1]:
+                        kept.append(raw[off[row] : off[row + 1]])
+                        continue
                     stay = np.flatnonzero(~cut) + a
-                    kept.append(b" ".join([raw[s:e] for s, e in zip(c.starts[stay].tolist(), c.ends[stay].tolist(), strict=True)]).decode("utf-8", "surrogatepass"))
-                yield pa.RecordBatch.from_arrays([rid.slice(i, j - i), doc_id.slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.large_string()).cast(pa.string())], ["rid", "doc_id", "n_words", "n_removed", "kept_text"])
+                    kept.append(b" ".join([raw[s:e] for s, e in zip(c.starts[stay].tolist(), c.ends[stay].tolist(), strict=True)]))
+                made = {"n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())}
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(part.schema.get_field_index(c)) for c in schema], schema)
 
     return run
 
 
-def remove_repeats(rows: DataFrame, k: int = WORDS) -> DataFrame:
-    """rid, doc_id, n_words, n_removed, kept_text for every one of ``rows`` (rid, doc_id, text; see ``common.keyed``).
+def paths_of(edges: DataFrame) -> DataFrame:
+    """rid, firsts, lasts: each source row's paths, as the positions of their first and last edges in order.
 
-    kept_text joins the kept words by one blank."""
-    ws = Workspace(rows.sparkSession, "substrings")
+    All joins are by coordinates inside a row, on one partitioning by row."""
+    at = edges.select("rid", "pos", "n").repartition("rid")
+    before = at.select("rid", (F.col("pos") + 1).alias("pos"), "n")
+    after = at.select("rid", (F.col("pos") - 1).alias("pos"), "n")
+    ends = [at.join(x.hint("shuffle_hash"), ["rid", "pos", "n"], "left_anti").groupBy("rid").agg(F.sort_array(F.collect_list("pos")).alias(name)) for x, name in ((before, "firsts"), (after, "lasts"))]
+    return ends[0].join(ends[1], "rid")
+
+
+def remove_repeats(rows: DataFrame, k: int = WORDS, verbatim: bool = False) -> DataFrame:
+    """n_words, n_removed and kept_text for every one of ``rows`` (rid, text; see ``common.keyed``), with all its columns but text.
+
+    kept_text joins the kept words by one blank; with ``verbatim`` a text of which nothing goes stays as it is."""
+    spark = rows.sparkSession
+    ws = Workspace(spark, "substrings")
     anchors = rows.select("rid", "text").mapInArrow(_anchors(k), "g long, rid long, pos int")
     single = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid"), F.min("pos").alias("pos")).filter("n = 1")
     once = ws.save(single.groupBy("rid").agg(F.collect_list("pos").alias("once")), "once")
-    marked = rows.join(once.hint("shuffle_hash"), "rid", "left")
+    marked = rows.select("rid", "text").join(once.hint("shuffle_hash"), "rid", "left")
     found = marked.select("rid", "text", "once").mapInArrow(_edges(k), "h long, c long, rid long, pos int, n long")
-    sources = found.groupBy("h", "c").agg(F.min("rid").alias("rid"), F.min_by("pos", "rid").alias("pos"), F.sum("n").alias("n"))
-    # compact: a path goes on while the next edge's source is the next position with as many copies
-    paths = ws.save(sources.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("e")).mapInArrow(_compact, "rid long, paths array<struct<start:int,n_edges:int,copies:long>>"), "paths")
+    edges = ws.save(found.groupBy("h", "c").agg(F.min("rid").alias("rid"), F.min_by("pos", "rid").alias("pos"), F.sum("n").alias("n")).select("rid", "pos", "n"), "edges")
+    with options(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
+        paths = ws.save(paths_of(edges), "paths")
+    ws.drop("edges")
     out = rows.join(once.hint("shuffle_hash"), "rid", "left").join(paths.hint("shuffle_hash"), "rid", "left")
-    return out.select("rid", "doc_id", "text", "once", "paths").mapInArrow(_cover(k), "rid long, doc_id long, n_words long, n_removed long, kept_text string")
-
-
-def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("n_edges", pa.int32()), ("copies", pa.int64())]))
-    for batch in batches:
-        edges = batch.column(1)
-        if isinstance(edges, pa.ChunkedArray):
-            edges = edges.combine_chunks()
-        cuts = edges.offsets.to_numpy()
-        flat = edges.values
-        pos, n = (flat.field(i).to_numpy() for i in (0, 1))
-        out = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            p, m = pos[a:b], n[a:b]
-            new = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(m) != 0)]))
-            size = np.diff(np.concatenate([new, [len(p)]]))
-            out.append([{"start": s, "n_edges": z, "copies": c} for s, z, c in zip(p[new].tolist(), size.tolist(), m[new].tolist(), strict=True)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["rid", "paths"])
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    schema = StructType([*kept, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
+    return out.mapInArrow(_cover(k, schema.names, verbatim), schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
