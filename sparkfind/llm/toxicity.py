@@ -1,25 +1,32 @@
 """Toxicity by class-conditional Kneser-Ney models of word pieces.
 
 An expression is a piece of five bytes inside a word (blanks at its ends mark the word's; A-Z
-lower-cased). Two models, toxic and ordinary, discount each expression's count absolutely and back
-off to the counts that both classes share. The discount grows with the noise of a count (``DOUBT``
-standard errors of what the shared counts lead one to expect), so a rare expression has no say of
-its own in either class, and one that is frequent in one class keeps nearly all of its count. A
-text's feature is the difference of its log-likelihoods per expression; a logistic curve makes it a
+lower-cased). Three distributions over the expressions of the training texts, each summing to 1:
+
+- shared: both classes' counts, less a discount of ``DISCOUNT`` each; the discounted mass backs off to
+  continuation counts (how many different expressions an expression follows), as Kneser and Ney have it.
+- toxic and ordinary: the class's count, less a discount as large as what the shared distribution
+  explains (the count it leads one to expect and ``DOUBT`` standard errors of it); the discounted mass
+  backs off to the shared distribution. So a rare expression has no say of its own in either class,
+  and one that is frequent in one class keeps the part of its count that is its class's own.
+
+A text's feature is the difference of its log-likelihoods per expression; a logistic curve makes it a
 score. Counts come from labelled rows of remainder 1 to 3, the curve from those of remainder 4,
-which the counts have not seen.
+which the counts have not seen. An expression that is in neither class's own part, or in no training
+text, has the same ratio as all others of its kind, so only the classes' own expressions are listed.
 
-Training reads at most ``max_rows`` labelled rows (a documented bound: those of least hash of id) and
-keeps at most ``max_pieces`` expressions whose classes differ, the most frequent. So the model that
-executors receive is bounded; scoring reads every row and every whole text.
+Training reads at most ``max_rows`` labelled rows (a documented bound: those of least hash of id), so the
+list that executors receive is bounded by their texts; scoring reads every row and every whole text.
 
 Null and empty texts score as a text without evidence. Labels that are null or neither 0 nor 1, or
 whose document is missing, teach nothing; repeated labels of a document count once, as toxic if any
-is. Without labels of both classes all scores are alike. An empty table gives no rows.
+is. Without labels of both classes all scores are alike. A row without doc_id is scored;
+its id as text is taken to be "null". An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +37,16 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import _LOWER, _SPACE, U64, schema_columns, text_chunks
 
-MAX_ROWS, MAX_PIECES = 20_000, 200_000
-PIECE, DOUBT = 5, 3.5
+MAX_ROWS = 20_000
+PIECE, DISCOUNT, DOUBT = 5, 0.75, 5.0
+#: What an expression at a text's start follows.
+START = (1 << 40) - 1
 _SLOTS = 21
 _CODE = np.where(_SPACE, 0x20, _LOWER).astype(U64)
 
 
 def remainder(doc_id: str = "doc_id") -> "F.Column":
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary")) % 5
 
 
 def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,33 +70,45 @@ def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each expression after each other one."""
     for batch in batches:
         text, toxic = schema_columns(batch, "text", "toxic")
         toxic = toxic.to_numpy().astype(np.int64)
         for i, j, buf, off in text_chunks(text):
             key, row = pieces(buf, off)
-            found, at = np.unique(key, return_inverse=True)
-            ones = np.bincount(at, weights=toxic[i:j][row], minlength=len(found)).astype(np.int64)
-            total = np.bincount(at, minlength=len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(ones), pa.array(total - ones)], ["piece", "n1", "n0"])
+            follows = np.full(len(key), START, U64)
+            follows[1:] = np.where(row[1:] == row[:-1], key[:-1], U64(START))
+            order = np.lexsort((follows, key))
+            key, follows, ones = key[order], follows[order], toxic[i:j][row[order]]
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (follows[1:] != follows[:-1])])[: len(key)])
+            total = np.diff(np.concatenate([new, [len(key)]]))
+            ones = np.add.reduceat(ones, new) if len(new) else ones
+            yield pa.RecordBatch.from_arrays([pa.array(key[new].astype(np.int64)), pa.array(follows[new].astype(np.int64)), pa.array(ones), pa.array(total - ones)], ["piece", "follows", "n1", "n0"])
+
+
+def shared_distribution(n: np.ndarray, kinds: np.ndarray, total: float, seen: float, total_kinds: float) -> np.ndarray:
+    """Interpolated: discounted counts, and continuation counts for what they leave (``seen`` expressions are discounted)."""
+    return (n - DISCOUNT + DISCOUNT * seen * kinds / total_kinds) / total
+
+
+def own_part(n: np.ndarray, total: float, shared: np.ndarray, doubt: float = DOUBT) -> np.ndarray:
+    """What is left of a class's counts without what the shared distribution explains."""
+    expected = total * shared
+    return np.maximum(n - expected - doubt * np.sqrt(expected + 1), 0)
 
 
-def ratios(n1: np.ndarray, n0: np.ndarray, all1: float, all0: float, doubt: float = DOUBT) -> np.ndarray:
-    """The difference of log-likelihoods of each expression under the two models."""
-    shared = (n1 + n0) / (all1 + all0)
-    p = []
-    for n, total in ((n1, all1), (n0, all0)):
-        expected = total * shared
-        over = n - expected
-        p.append((expected + np.sign(over) * np.maximum(np.abs(over) - doubt * np.sqrt(expected + 1), 0)) / max(total, 1))
-    return np.log(p[0] / p[1])
+def ratios(own1: np.ndarray, own0: np.ndarray, shared: np.ndarray, all1: float, all0: float, sum1: float, sum0: float) -> np.ndarray:
+    """The difference of log-likelihoods of expressions under the two models; sum1 and sum0 are all own parts."""
+    p1 = own1 / all1 + (1 - sum1 / all1) * shared
+    p0 = own0 / all0 + (1 - sum0 / all0) * shared
+    return np.log(p1 / p0)
 
 
 class Model:
-    """Expressions with their log ratios, and the curve's weights; ``features`` works on chunks of texts."""
+    """The classes' own expressions with their log ratios, that of all others, and the curve's weights; ``features`` works on chunks of texts."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, weights: tuple[float, float] = (0.0, 1.0)):
-        self.keys, self.values, self.weights, self._table = keys.astype(U64), values.astype(np.float64), weights, None
+    def __init__(self, keys: np.ndarray, values: np.ndarray, other: float = 0.0, weights: tuple[float, float] = (0.0, 1.0)):
+        self.keys, self.values, self.other, self.weights, self._table = keys.astype(U64), values.astype(np.float64), other, weights, None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_table": None}
@@ -96,7 +117,7 @@ class Model:
         return (keys * U64(0x9E3779B97F4A7C15) >> U64(64 - _SLOTS)).astype(np.int64)
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """The ratio of each expression, 0 for one that the model doesn't hold: a table of slots, then the rest by search."""
+        """The ratio of each expression: a table of slots, then the rest by search."""
         if self._table is None:
             slots, held, value = self._slot(self.keys), np.full(1 << _SLOTS, ~U64(0), U64), np.zeros(1 << _SLOTS)
             held[slots], value[slots] = self.keys, self.values
@@ -108,11 +129,11 @@ class Model:
         held, value, crowded, rest, rest_values = self._table
         slot = self._slot(keys)
         same = held[slot] == keys
-        out = np.where(same, value[slot], 0.0)
+        out = np.where(same, value[slot], self.other)
         if len(rest):
             odd = np.flatnonzero(~same & crowded[slot])
             at = np.minimum(np.searchsorted(rest, keys[odd]), len(rest) - 1)
-            out[odd] = np.where(rest[at] == keys[odd], rest_values[at], 0.0)
+            out[odd] = np.where(rest[at] == keys[odd], rest_values[at], self.other)
         return out
 
     def features(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -141,25 +162,39 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return t / np.array([1.0, scale])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_pieces: int = MAX_PIECES) -> Model:
+def fitted(counted: DataFrame) -> Model:
+    """A model (without a curve) of counts (piece, n1, n0, kinds); the classes' own expressions reach the driver."""
+    all1, all0, seen, kinds = (float(x or 0) for x in counted.agg(F.sum("n1"), F.sum("n0"), F.count(F.lit(1)), F.sum("kinds")).first())
+    if not all1 or not all0:
+        return Model(np.zeros(0, U64), np.zeros(0))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            piece, n1, n0, k = (c.to_numpy() for c in schema_columns(batch, "piece", "n1", "n0", "kinds"))
+            shared = shared_distribution(n1 + n0, k, all1 + all0, seen, kinds)
+            own1, own0 = own_part(n1, all1, shared), own_part(n0, all0, shared)
+            some = (own1 > 0) | (own0 > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (piece, own1, own0, shared)], ["piece", "own1", "own0", "shared"])
+
+    found = counted.select("piece", "n1", "n0", "kinds").mapInArrow(own, "piece long, own1 double, own0 double, shared double").toPandas().sort_values("piece")
+    sum1, sum0 = found["own1"].sum(), found["own0"].sum()
+    values = ratios(found["own1"].to_numpy(), found["own0"].to_numpy(), found["shared"].to_numpy(), all1, all0, sum1, sum0)
+    return Model(found["piece"].to_numpy(np.int64), values, math.log((1 - sum1 / all1) / (1 - sum0 / all0)))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """A model from the labelled rows of ``docs`` whose remainder is not 0."""
     known = labels.filter("toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     taught = known.filter(remainder() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(taught), "doc_id").select("text", "toxic", (remainder() == 4).alias("curve"))
-    counted = rows.filter("not curve").select("text", "toxic").mapInArrow(_count, "piece long, n1 long, n0 long").groupBy("piece").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).persist()
-    all1, all0 = (x or 0 for x in counted.agg(F.sum("n1"), F.sum("n0")).first())
-    model = Model(np.zeros(0, U64), np.zeros(0))
-    if all1 and all0:
-        share = (F.col("n1") + F.col("n0")) / float(all1 + all0)
-        odd = [F.abs(F.col(c) - share * float(t)) > DOUBT * F.sqrt(share * float(t) + 1) for c, t in (("n1", all1), ("n0", all0))]
-        found = counted.filter(odd[0] | odd[1]).orderBy((F.col("n1") + F.col("n0")).desc(), "piece").limit(max_pieces).toPandas()  # max_pieces rows at most
-        n1, n0 = found["n1"].to_numpy(float), found["n0"].to_numpy(float)
-        model = Model(found["piece"].to_numpy(np.int64), ratios(n1, n0, all1, all0))
+    pairs = rows.filter("not curve").select("text", "toxic").mapInArrow(_count, "piece long, follows long, n1 long, n0 long").groupBy("piece", "follows").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counted = pairs.groupBy("piece").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.count(F.lit(1)).alias("kinds")).persist()
+    model = fitted(counted)
     counted.unpersist()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fitted = rows.filter("curve").select("text", "toxic").mapInArrow(_features(shared), "x double, y int").toPandas()  # max_rows rows at most
-    if fitted["y"].nunique() == 2:
-        model.weights = tuple(logistic(fitted["x"].to_numpy(), fitted["y"].to_numpy().astype(float)))
+    curve = rows.filter("curve").select("text", "toxic").mapInArrow(_features(shared), "x double, y int").toPandas()  # max_rows rows at most
+    if curve["y"].nunique() == 2:
+        model.weights = tuple(logistic(curve["x"].to_numpy(), curve["y"].to_numpy().astype(float)))
     else:
         model.weights = (-2.0, 1.0)
     return model
@@ -177,8 +212,8 @@ def _features(shared):
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``docs`` with a column of scores (named ``name``): every row, whole texts of its column text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # max_pieces numbers at most
+    """``docs`` with a column of scores (named ``name``, which docs must not have): every row, whole texts of its column text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
