@@ -2,12 +2,14 @@
 
 Texts are equal when they are identical without the characters ``[\\x20\\x09-\\x0D]``.
 
-1. Each task folds the rows it reads: one entry per different text in a batch (bytes compared, not
-   only hashes), with its number of rows and its best row; so a text that fills a third of all rows
-   reaches the index once per batch, not once per row. Members stay beside the entry on disk.
+1. Each task folds the rows it reads, ``FOLD_BYTES`` of different texts at a time: one entry per text
+   (bytes compared, not only hashes), with its number of rows and its best row. Members stay beside
+   the entry on disk. Keys with more than ``HOT`` entries are folded again, dealt by key and salt to
+   tasks of some ``HOT`` entries, round by round, until none has more: so a text that fills a third of
+   all rows reaches its owner as ``HOT`` entries at most, and no task gets more.
 2. The directory doubles: all entries start in one bucket; buckets whose entries hold more than
-   ``bucket_bytes`` split by their key's next leading bit until none is overfull, at most to
-   ``MAX_DEPTH`` bits. Counts come from one aggregate per round over buckets still overfull.
+   ``bucket_bytes`` split by their key's next leading bit until none is overfull (or holds one key
+   only). Counts come from one aggregate per round over buckets still overfull.
 3. Owner tasks take bucket ranges of keys in order. Entries with one key form a chain of different
    texts, told apart by their bytes; of each text the owner keeps one copy of the bytes, and the
    best row and the number of rows.
@@ -15,7 +17,8 @@ Texts are equal when they are identical without the characters ``[\\x20\\x09-\\x
    members look up their entry there.
 
 Nulls count as empty texts; empty texts are equal to each other. A null doc_id comes first among
-ties. Repeated rows (same doc_id) are members of their own. An empty table gives no rows.
+ties. Repeated rows (same doc_id) are members of their own; ``kept`` tells whether a row has the id of
+the row that stays, so it is true for all rows of a group that share that id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -30,32 +34,27 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
-MAX_DEPTH = 20
+KEY_BITS, HOT = 63, 16
+FOLD_BYTES, FOLD_ROWS = 32 << 20, 1 << 16
 WHITE = b" \t\n\x0b\x0c\r"
 ENTRIES = "entry long, key long, content binary, sha string, n_rows long, best_chars long, best_id long, members array<long>"
 LEAST = -(1 << 63)
 
 
 def fold(docs: DataFrame) -> DataFrame:
-    """Entries of different texts per batch of each task."""
+    """Entries of different texts, of ``FOLD_BYTES`` of them or ``FOLD_ROWS`` rows of a task at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         entry = (context.partitionId() if context else 0) << 32
-        for batch in batches:
-            found: dict[bytes, list] = {}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
-                content = text.encode("utf-8", "surrogatepass").translate(None, WHITE)
-                best = (-len(text), LEAST if doc_id is None else doc_id)
-                if (e := found.get(content)) is None:  # a dict compares bytes where hashes agree
-                    found[content] = [best, [doc_id]]
-                else:
-                    e[0] = min(e[0], best)
-                    e[1].append(doc_id)
-            rows = [(hashlib.sha256(c), c, *e) for c, e in found.items()]
-            for i in range(0, len(rows), 1024):
-                part = rows[i : i + 1024]
+        found: dict[bytes, list] = {}
+        size = rows = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal entry, found, size, rows
+            held = [(hashlib.sha256(c), c, *e) for c, e in found.items()]
+            for i in range(0, len(held), 1024):
+                part = held[i : i + 1024]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(range(entry, entry + len(part)), pa.int64()),
@@ -70,6 +69,23 @@ def fold(docs: DataFrame) -> DataFrame:
                     [c.split()[0] for c in ENTRIES.split(", ")],
                 )
                 entry += len(part)
+            found, size, rows = {}, 0, 0
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = text or ""
+                content = text.encode("utf-8", "surrogatepass").translate(None, WHITE)
+                best = (-len(text), LEAST if doc_id is None else doc_id)
+                if (e := found.get(content)) is None:  # a dict compares bytes where hashes agree
+                    found[content] = [best, [doc_id]]
+                    size += len(content)
+                else:
+                    e[0] = min(e[0], best)
+                    e[1].append(doc_id)
+                rows += 1
+            if size >= FOLD_BYTES or rows >= FOLD_ROWS:
+                yield from flush()
+        yield from flush()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, ENTRIES)
 
@@ -79,17 +95,19 @@ def directory(entries: DataFrame, bucket_bytes: int) -> list[tuple[int, int]]:
     done: list[tuple[int, int]] = []
     depth, open_prefixes = 0, [0]
     sized = entries.select("key", (F.length("content") + 64).alias("size"))
-    step = 4  # bits a round: 16 counts per overfull bucket reach the driver
     while open_prefixes:
-        deeper = depth + step
-        over = sized if depth == 0 else sized.filter(F.shiftright("key", 63 - depth).isin(open_prefixes))
-        sizes = {r[0]: r[1] for r in over.groupBy(F.shiftright("key", 63 - deeper).alias("p")).agg(F.sum("size")).collect()}
+        deeper = min(depth + 4, KEY_BITS)  # bits a round: 16 counts per overfull bucket reach the driver
+        over = sized
+        if depth:
+            wanted = sized.sparkSession.createDataFrame([(x,) for x in open_prefixes], "p0 long")
+            over = sized.withColumn("p0", F.shiftright("key", KEY_BITS - depth)).join(wanted, "p0", "left_semi")
+        sizes = {r[0]: r[1] for r in over.groupBy(F.shiftright("key", KEY_BITS - deeper).alias("p")).agg(F.sum("size")).collect()}
 
         def split(prefix: int, at: int, still: list[int], sizes: dict = sizes, deeper: int = deeper) -> None:
             low, high = prefix << (deeper - at), (prefix + 1) << (deeper - at)
             size = sum(sizes.get(p, 0) for p in range(low, high))
-            if size <= bucket_bytes or at >= MAX_DEPTH:
-                done.append((prefix << (63 - at), at))
+            if size <= bucket_bytes or at == KEY_BITS:
+                done.append((prefix << (KEY_BITS - at), at))
             elif at == deeper:
                 still.append(prefix)
             else:
@@ -103,6 +121,56 @@ def directory(entries: DataFrame, bucket_bytes: int) -> list[tuple[int, int]]:
     return sorted(done)
 
 
+def fold_hot(ws: Workspace, live: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``live`` entries with those of hot keys folded, and of each round (entry, rep): what stands for what."""
+    rounds: list[DataFrame] = []
+    while True:
+        counts = live.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
+        many = ws.save(counts.select("key", F.ceil(F.col("n") / HOT).alias("salts")), f"many-{len(rounds)}")  # one key for HOT entries at most
+        if not many.limit(1).count():
+            return live, rounds
+        hot = live.join(many, "key").withColumn("salt", F.pmod(F.xxhash64("entry"), "salts"))
+        dealt = hot.repartition("key", "salt").sortWithinPartitions("key", "salt", "entry").select("entry", "key", "content", "n_rows", "best_chars", "best_id", "salt")
+        folded = ws.save(dealt.mapInArrow(_fold_again, "entry long, rep long, key long, content binary, n_rows long, best_chars long, best_id long"), f"folded-{len(rounds)}")
+        rounds.append(folded.select("entry", "rep"))
+        live = live.join(many.select("key"), "key", "left_anti").unionByName(folded.filter("entry = rep").drop("rep").select(*live.columns))
+
+
+def _fold_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries in the order of (key, salt, entry) -> each with the first entry of its text; that one has the bytes, rows and best row of all."""
+    at, chain = None, []
+
+    def close() -> pa.RecordBatch:
+        rows = []
+        for content, best, n, members in chain:
+            chars, best_id = -best[0], best[2] if best[1] else None
+            rows += [(e, members[0], at[0], content if i == 0 else None, n if i == 0 else 0, chars, best_id) for i, e in enumerate(members)]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["entry", "rep", "key", "content", "n_rows", "best_chars", "best_id"])
+
+    for batch in batches:
+        for entry, key, content, n, chars, best_id, salt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, salt) != at:
+                if chain:
+                    yield close()
+                at, chain = (key, salt), []
+            _link(chain, entry, content, n, chars, best_id)
+    if chain:
+        yield close()
+
+
+def _link(chain: list[list], entry: int, content: bytes, n: int, chars: int, best_id: int | None) -> None:
+    """Adds an entry to its text in the chain of a key, by its bytes."""
+    best = (-chars, best_id is not None, best_id if best_id is not None else 0)
+    for link in chain:
+        if link[0] == content:
+            link[1] = min(link[1], best)
+            link[2] += n
+            link[3].append(entry)
+            return
+    chain.append([content, best, n, [entry]])
+
+
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries in key order -> one row per entry with its text's kept row and group size."""
     key, chain = None, []
@@ -113,18 +181,10 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     for batch in batches:
         for entry, k, content, n, chars, best_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            best = (-chars, best_id is not None, best_id if best_id is not None else 0)
             if k != key:
                 out += close()
                 key, chain = k, []
-            for link in chain:
-                if link[0] == content:
-                    link[1] = min(link[1], best)
-                    link[2] += n
-                    link[3].append(entry)
-                    break
-            else:
-                chain.append([content, best, n, [entry]])
+            _link(chain, entry, content, n, chars, best_id)
         if len(out) >= 4096:
             yield _index(out)
             out = []
@@ -140,29 +200,28 @@ def _index(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def dedup(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame:
+def dedup(docs: DataFrame, bucket_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ws = Workspace(spark, "exact")
     entries = ws.save(fold(docs), "entries")
-    buckets = directory(entries, bucket_bytes)
-    spark.createDataFrame(buckets, "first_key long, depth int").coalesce(1).write.parquet(ws.path("directory"))
-    firsts = [k for k, _ in buckets]  # at most 2**MAX_DEPTH numbers, one per bucket_bytes of text
-
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    live, rounds = fold_hot(ws, entries.select("entry", "key", "content", "n_rows", "best_chars", "best_id"))
+    spark.createDataFrame(directory(live, bucket_bytes), "first_key long, depth int").coalesce(1).write.parquet(ws.path("directory"))
+    firsts = sorted(r[0] for r in spark.read.parquet(ws.path("directory")).select("first_key").collect())  # a number for bucket_bytes of text
+    owners = max(1, min(len(firsts), 1 << 16))
 
+    def owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.asarray(firsts, np.int64)
         for batch in batches:
             at = np.searchsorted(starts, batch.column(1).to_numpy(), "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], [*batch.schema.names, "bucket"])
-
-    wanted = entries.select("entry", "key", "content", "n_rows", "best_chars", "best_id").mapInArrow(bucket, "entry long, key long, content binary, n_rows long, best_chars long, best_id long, bucket long")
-    owners = max(1, min(len(firsts), 1 << 16))
-    owned = wanted.repartition(owners, "bucket").sortWithinPartitions("bucket", "key")
-    index = ws.save(owned.select("entry", "key", "content", "n_rows", "best_chars", "best_id").mapInArrow(_owners, "key long, entry long, keep_id long, group_size long"), "index")
-    # back to members: entries are one per different text and batch, so no key is hot
-    members = entries.select("entry", "sha", "members").join(index.select("entry", "keep_id", "group_size"), "entry")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((at * owners // len(starts)).astype(np.int32))], [*batch.schema.names, "owner"])
+
+    wanted = live.select("entry", "key", "content", "n_rows", "best_chars", "best_id").mapInArrow(owner, "entry long, key long, content binary, n_rows long, best_chars long, best_id long, owner int")
+    owned = wanted.repartitionById(owners, F.col("owner")).sortWithinPartitions("key")  # a range of keys a task
+    index = ws.save(owned.drop("owner").mapInArrow(_owners, "key long, entry long, keep_id long, group_size long"), "index").select("entry", "keep_id", "group_size")
+    for stood in reversed(rounds):  # entries take what is known of the one that stood for them
+        index = index.join(stood.select("entry"), "entry", "left_anti").unionByName(stood.join(index.withColumnRenamed("entry", "rep"), "rep").select("entry", "keep_id", "group_size"))
+    members = entries.select("entry", "sha", "members").join(index, "entry")
     out = members.select(F.explode_outer("members").alias("doc_id"), "keep_id", "group_size", F.col("sha").alias("text_sha256"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
