@@ -1,11 +1,13 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Candidates are dealt into groups of about ``group_rows`` vectors. A task takes one group and the
-query blocks; it orders the group by length (Euclidean norm), cuts it into buckets, and works from
-the longest down. With theta the query's k-th best score so far and l the bucket's longest length,
-a bucket can only matter if the local cosine threshold theta / (|q| l) is at most 1; then
-
-- length pruning keeps the bucket's prefix of vectors with |p| >= theta / |q| (chosen while the
+All candidates are dealt by length (Euclidean norm) into buckets, from the longest down; a bucket with
+many rows is split into groups of about ``group_rows``. The queries, in blocks, search the longest
+bucket first. That gives each query theta, its k-th best score so far, which travels with it to the
+other buckets; a block is sent to those only that one of its queries can still reach, theta being at
+most |q| l with l the bucket's longest length. Inside a group, in runs of ``BUCKET_ROWS`` from the
+longest down, a run can only matter if the local cosine threshold theta / (|q| l) is at most 1; then
+
+- length pruning keeps the run's prefix of vectors with |p| >= theta / |q| (chosen while the
   threshold is low: most lengths pass, and a prefix costs nothing to find), or
 - coordinate pruning keeps vectors whose normalised focus coordinate lies in the interval that the
   threshold allows for the query's largest coordinate (chosen when the threshold is high).
@@ -14,29 +16,33 @@ What is left is verified by exact integer products. Each group gives at most k r
 the best k of those are the answer, ties to the smaller id.
 
 A vector takes part if it is not null and no component is null, NaN or infinite; shorter vectors are
-padded with zeros; an empty vector is a zero vector. Rows with a null id take no part. Rows that
+padded with zeros; an empty vector is a zero vector. Components beyond 62 bits count as the nearest
+number of 62 bits, and so do scores. Rows with a null id take no part. Rows that
 share an id are candidates of their own, but never answers to a query of their id; of repeated
-query rows each asks once per different vector. Empty tables give no rows.
+query rows each asks once per different vector. Other columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERY_ROWS, QUERY_BLOCKS, BUCKET_ROWS = 256, 64, 1024
+from .common import Workspace
+
+QUERY_ROWS, QUERY_BLOCKS, BUCKET_ROWS, LENGTHS = 256, 64, 1024, 64
+MOST = (1 << 62) - 1
 COORDINATE_FROM = 0.7
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_id long, q long, vec_id long, score long"
+RESULT_SCHEMA = pa.schema([("query_id", pa.int64()), ("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def integers(col: str) -> "F.Column":
     """floor(64 * x) of each component, x as double; null for a vector that takes no part."""
-    x = F.transform(F.col(col), lambda v: F.floor(v.cast("double") * 64.0))
+    x = F.transform(F.col(col), lambda v: F.greatest(F.least(F.floor(v.cast("double") * 64.0), F.lit(MOST)), F.lit(-MOST)))
     bad = F.col(col).isNull() | F.exists(F.col(col), lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
     return F.when(~bad, x)
 
@@ -70,17 +76,18 @@ class Group:
             return (q.astype(np.float64) @ p.astype(np.float64).T).astype(np.int64)
         if bound < 1 << 61:
             return q @ p.T
-        raise OverflowError("inner products beyond 61 bits")
+        whole = np.clip(q.astype(object) @ p.astype(object).T, -MOST, MOST)  # Python's integers: rare and slow, but exact
+        return whole.astype(np.int64)
 
-    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row of the query, id and score of at most k best candidates of each query."""
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, theta: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of the query, id and score of at most k best candidates of each query; theta: scores that matter are not below."""
         nq, n = len(q), len(self.ids)
         lengths = np.sqrt((q.astype(np.float64) ** 2).sum(1))
         focus = np.abs(q).argmax(1) if q.shape[1] else np.zeros(nq, np.int64)
         least = -(1 << 62)  # below any score; its negative is a number too
         best = np.full((nq, k), least, np.int64)  # scores
         where = np.full((nq, k), -1, np.int64)
-        theta = np.full(nq, -np.inf)
+        theta = np.full(nq, -np.inf) if theta is None else theta.copy()
         for a in range(0, n, BUCKET_ROWS):
             b = min(n, a + BUCKET_ROWS)
             top = self.norms[a]
@@ -121,59 +128,80 @@ class Group:
                     for r in range(len(rows)):
                         s = np.lexsort((tie[r], -both[r]))[:k]
                         best[rows[r]], where[rows[r]] = both[r, s], spots[r, s]
-                theta[rows] = np.where(best[rows, k - 1] > least, best[rows, k - 1].astype(np.float64), -np.inf)
+                theta[rows] = np.maximum(theta[rows], np.where(best[rows, k - 1] > least, best[rows, k - 1].astype(np.float64), -np.inf))
         row, col = np.nonzero(best > least)
         return row, self.ids[where[row, col]], best[row, col]
 
 
+def _taking_part(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), integers(vector_col).alias("v")).filter("vec_id is not null and v is not null")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return rows.withColumn("norm", norm * (1 + 1e-12))  # never below the true length
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, group_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``vectors`` for each of ``queries`` (same columns).
 
-    Queries travel in blocks of ``QUERY_ROWS`` to every group; both sides of a task are bounded."""
-    vectors = vectors.select(F.col(id_col).cast("long").alias("vec_id"), integers(vector_col).alias("v")).filter("vec_id is not null and v is not null")
-    queries = queries.select(F.col(id_col).cast("long").alias("vec_id"), integers(vector_col).alias("v")).filter("vec_id is not null and v is not null")
-    groups = max(1, math.ceil(vectors.count() / group_rows))
-    blocks = max(1, math.ceil(queries.count() / QUERY_ROWS))
+    Both sides of a task are bounded: a group of candidates, ``QUERY_BLOCKS`` blocks of ``QUERY_ROWS`` queries."""
+    ws = Workspace(vectors.sparkSession, "topk")
+    vectors, asked = _taking_part(vectors, id_col, vector_col), _taking_part(queries, id_col, vector_col).distinct()
+    n, n_queries = vectors.count(), asked.count()
+    blocks = max(1, math.ceil(n_queries / QUERY_ROWS))
     shares = math.ceil(blocks / QUERY_BLOCKS)
-    # task (g, s): group g of the candidates against share s of the query blocks, both of bounded size
-    dealt = vectors.withColumn("g", F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    folded = queries.distinct().groupBy(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    sent = folded.withColumn("s", (F.col("b") % shares).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def run(key: tuple, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        rows: list = []
-        for batch in left:
-            ids += batch.column(0).to_pylist()
-            rows += batch.column(1).to_pylist()
-        if not ids:
-            return
-        own = max(map(len, rows))
-        group: Group | None = None
-        for batch in right:
-            for block in batch.column(0).to_pylist():
-                width = max(own, max(len(q["v"]) for q in block))
-                if group is None or group.vectors.shape[1] < width:
-                    group = Group(np.asarray(ids, np.int64), _matrix(rows, width))
-                q = _matrix([x["v"] for x in block], group.vectors.shape[1])
-                qids = np.asarray([x["vec_id"] for x in block], np.int64)
-                row, found, scores = group.search(qids, q, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(found), pa.array(scores)], ["query_id", "vec_id", "score"])
-
-    found = dealt.select("g", "s", "vec_id", "v").groupBy("g", "s").cogroup(sent.select("g", "s", "q").groupBy("g", "s")).applyInArrow(_cogrouped(run), RESULT)
+    lengths = max(1, min(LENGTHS, math.ceil(n / group_rows)))
+    # descending bounds between buckets: a bucket is the number of bounds that a length does not reach
+    bounds = sorted(set(vectors.approxQuantile("norm", [i / lengths for i in range(1, lengths)], 0.001)), reverse=True) if lengths > 1 and n else []
+    bucket = sum((F.when(F.col("norm") < x, 1).otherwise(0) for x in bounds), F.lit(0)) if bounds else F.lit(0)
+    dealt = vectors.withColumn("bucket", bucket.cast("int"))
+    sizes = {r["bucket"]: (r["n"], r["top"]) for r in dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).collect()}  # LENGTHS rows at most
+    if not sizes or not n_queries:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    groups = {b: math.ceil(size / group_rows) for b, (size, _) in sizes.items()}
+    split = F.create_map(*[F.lit(x) for item in groups.items() for x in item])[F.col("bucket")]
+    # rows of one length, even of one id, are dealt evenly
+    dealt = dealt.withColumn("g", F.pmod(F.monotonically_increasing_id(), split).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    dealt = dealt.select("bucket", "g", "s", "vec_id", "v")
+    asked = ws.save(asked.select("vec_id", "v", "norm", F.monotonically_increasing_id().alias("q"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("b")), "queries")
+    top, rest = min(sizes), sorted(sizes)[1:]
+    first = ws.save(_meet(dealt.filter(F.col("bucket") == top), _sent(asked.withColumn("theta", F.lit(float("-inf"))), [top], sizes, groups, shares), k), "first")
+    found = first
+    if rest:
+        kth = first.groupBy("q").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("q", F.get("s", F.lit(k - 1)).cast("double").alias("theta"))  # k scores a group of the bucket
+        told = ws.save(asked.join(kth, "q", "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf")))), "told")
+        found = first.unionByName(_meet(dealt.filter(F.col("bucket") > top), _sent(told, rest, sizes, groups, shares), k))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _cogrouped(run):
-    """A cogroup function over tables, from one over batches without the key column."""
+def _sent(asked: DataFrame, buckets: list[int], sizes: dict, groups: dict, shares: int) -> DataFrame:
+    """bucket, g, s, queries: each block of queries for every group of the buckets that one of its queries can reach."""
+    blocks = asked.groupBy("b").agg(F.collect_list(F.struct("vec_id", "v", "q", "theta", "norm")).alias("queries"))
+    options = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(groups[b]).alias("groups"), F.lit(float(sizes[b][1])).alias("top")) for b in buckets])
+    # a little slack for rounding; theta -inf reaches all
+    reached = F.filter(options, lambda o: F.exists("queries", lambda q: q["theta"] <= q["norm"] * o["top"] * (1 + 1e-9) + 1e-6))
+    sent = blocks.select("b", "queries", F.explode(reached).alias("o"))
+    return sent.select(F.col("o.bucket").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("o.groups") - 1)).alias("g"), (F.col("b") % shares).alias("s"), "queries")
+
+
+def _meet(dealt: DataFrame, sent: DataFrame, k: int) -> DataFrame:
+    keys = ["bucket", "g", "s"]
 
     def apply(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = list(run(key, iter(left.select(["vec_id", "v"]).to_batches()), iter(right.select(["q"]).to_batches())))
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        return pa.Table.from_batches(out, schema) if out else schema.empty_table()
+        if not left.num_rows:
+            return RESULT_SCHEMA.empty_table()
+        rows, blocks = left.column("v").to_pylist(), right.column("queries").to_pylist()
+        width = max(map(len, [*rows, *(q["v"] for block in blocks for q in block)]))
+        group = Group(left.column("vec_id").to_numpy(), _matrix(rows, width))
+        out = [_searched(group, width, block, k) for block in blocks]
+        return pa.concat_tables(out) if out else RESULT_SCHEMA.empty_table()
+
+    return dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(apply, RESULT)
+
 
-    return apply
+def _searched(group: Group, width: int, block: list[dict], k: int) -> pa.Table:
+    ids, keys = (np.asarray([x[c] for x in block], np.int64) for c in ("vec_id", "q"))
+    row, found, scores = group.search(ids, _matrix([x["v"] for x in block], width), k, np.asarray([x["theta"] for x in block], float))
+    return pa.table([pa.array(ids[row]), pa.array(keys[row]), pa.array(found), pa.array(scores)], schema=RESULT_SCHEMA)
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
