@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 
+BLOCK_TURNS = 1024
 #: name -> field -> (type as schema_of_variant names it, required, least length of a string)
 SCHEMAS: dict[str, dict[str, tuple[str, bool, int]]] = {
     "configure": {"text": ("STRING", True, 1)},
@@ -51,27 +52,28 @@ def valid(arguments: "F.Column", name: "F.Column", schemas: dict) -> "F.Column":
 
 
 def levels(ws: Workspace, calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """conv_id, call_id, level, ready of every call that can be ordered: a level a round, by joins, while any is left."""
+    """conv_id, call_id, level, ready of every call that can be ordered: a level a round, by joins, while any is found.
+
+    A round looks only at calls that need one of the level before, and writes only what it finds."""
     ids = ["conv_id", "call_id"]
     nodes = calls.filter("conv_id is not null and call_id is not null").groupBy(*ids).agg(F.min("turn").alias("turn"))
-    edges = needs.filter("conv_id is not null and call_id is not null and needs is not null").distinct()
-    done = nodes.join(edges, ids, "left_anti").select(*ids, F.lit(0).alias("level"), F.col("turn").alias("ready"))
+    edges = needs.filter("conv_id is not null and call_id is not null and needs is not null").select(*ids, "needs").distinct()
+    first = nodes.join(edges, ids, "left_anti").select(*ids, F.lit(0).alias("level"), F.col("turn").alias("ready"))
     if not edges.limit(1).count():
-        return done
-    done = ws.save(done, "levels-0")
-    left, edges, total = ws.save(nodes.join(edges, ids, "left_semi"), "left-0"), ws.save(edges, "edges"), done.count()
+        return first
+    edges = ws.save(edges, "edges")
+    left = ws.save(nodes.join(edges, ids, "left_semi"), "left")
+    found = [ws.save(first, "levels-0")]
     for i in itertools.count(1):
+        done = ws.spark.read.schema(found[0].schema).parquet(*[ws.path(f"levels-{j}") for j in range(i)])
+        near = edges.join(found[-1].select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").select(*ids).distinct()
         from_ = done.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("l"), F.col("ready").alias("r"))
-        state = edges.join(left, ids).join(from_, ["conv_id", "needs"], "left").groupBy(*ids).agg(F.min("turn").alias("turn"), F.max("l").alias("l"), F.max("r").alias("r"), F.sum(F.expr("int(l is null)")).alias("open"))
-        due = state.filter("open = 0").select(*ids, (F.col("l") + 1).alias("level"), F.greatest("turn", "r").alias("ready"))
-        done = ws.save(done.unionByName(due), f"levels-{i}")
-        left = ws.save(left.join(done, ids, "left_anti"), f"left-{i}")
-        ws.drop(f"levels-{i - 1}", f"left-{i - 1}")
-        now = done.count()
-        if now == total or not left.limit(1).count():
-            break
-        total = now
-    return done
+        state = edges.join(near, ids, "left_semi").join(from_, ["conv_id", "needs"], "left").groupBy(*ids).agg(F.max("l").alias("l"), F.max("r").alias("r"), F.max(F.col("l").isNull()).alias("open"))
+        due = state.filter("not open").join(left, ids).select(*ids, (F.col("l") + 1).alias("level"), F.greatest("turn", "r").alias("ready"))
+        due = ws.save(due, f"levels-{i}")
+        if not due.limit(1).count():
+            return done
+        found.append(due)
 
 
 def link(ws: Workspace, calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
@@ -116,10 +118,15 @@ def of_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     turns = turns.selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "cast(text as string) text").filter("conv_id is not null and turn is not null")
     ident = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     is_call = F.col("role").isin("user", "system")
-    order = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(is_call, F.col("turn"))).over(order)
-    first = F.min(F.when(F.col("role") == "system", F.col("turn"))).over(order)
-    told = turns.withColumn("last", last).withColumn("first", first)
+    # what a turn sees before it: by blocks of turns, so that no task takes a whole long conversation
+    order = turns.groupBy("conv_id", "turn").agg(F.max(F.when(is_call, F.col("turn"))).alias("call"), F.max(F.when(F.col("role") == "system", F.col("turn"))).alias("system")).withColumn("block", F.expr(f"floor(turn / {BLOCK_TURNS})"))
+    blocks = order.groupBy("conv_id", "block").agg(F.max("call").alias("call"), F.min("system").alias("system"))
+    across = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("conv_id", "block", F.max("call").over(across).alias("call0"), F.min("system").over(across).alias("system0"))
+    inside = Window.partitionBy("conv_id", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    seen = order.select("conv_id", "block", "turn", F.max("call").over(inside).alias("call1"), F.min("system").over(inside).alias("system1")).join(before, ["conv_id", "block"])
+    seen = seen.select("conv_id", "turn", F.coalesce("call1", "call0").alias("last"), F.coalesce("system0", "system1").alias("first"))
+    told = turns.join(seen, ["conv_id", "turn"])
     calls = told.filter(is_call).select("conv_id", ident.alias("call_id"), "turn", F.when(F.col("role") == "user", "reply").otherwise("configure").alias("name"), F.to_json(F.struct("text", "turn"), {"ignoreNullFields": "false"}).alias("arguments"))
     results = told.filter(F.col("role").isin("assistant", "tool")).select("conv_id", F.concat_ws("/", F.col("conv_id").cast("string"), F.coalesce(F.col("last").cast("string"), F.lit("none"))).alias("call_id"), "turn", F.col("text").alias("content"))
     needs = told.filter(is_call & F.col("first").isNotNull()).select("conv_id", ident.alias("call_id"), F.concat_ws("/", F.col("conv_id").cast("string"), F.col("first").cast("string")).alias("needs"))
