@@ -124,11 +124,12 @@ def decode_block(bits: bytes, checkpoints: bytes, n_ids: int, table: tuple[np.nd
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, place (tokens before it in its partition), ids (little-endian unsigned 32-bit, compressed where they lie) in the order given."""
+    """doc_id, n_tokens, place (tokens before it in its partition), ids (little-endian unsigned 32-bit, compressed where they lie) in the order given;
+    after a task's documents a row with the counts of its ids (little-endian 64-bit, by id) and no ids."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, place = word_bpe(tokenizer), 0
+        encode, place, seen = word_bpe(tokenizer), 0, np.zeros(0, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -140,15 +141,20 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 if high:
                     raise ValueError("ids of 2**24 and more are not supported")
                 width = 2 if int(flat.max()) < 1 << 16 else 3
+                got = np.bincount(flat, minlength=len(seen))
+                got[: len(seen)] += seen
+                seen = got
                 ends = place + np.cumsum([len(c) for c in cells])
                 places, place = np.concatenate([[place], ends[:-1]]), int(ends[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(c) for c in cells], pa.int64()), pa.array(places, pa.int64()), pa.array([width] * len(cells), pa.int32()), pa.array([np.ascontiguousarray(c[:, :width]).tobytes() for c in cells], pa.binary())],
-                    ["doc_id", "n_tokens", "place", "width", "ids"],
+                    [part.column(0), pa.array([len(c) for c in cells], pa.int64()), pa.array(places, pa.int64()), pa.array([width] * len(cells), pa.int32()), pa.array([np.ascontiguousarray(c[:, :width]).tobytes() for c in cells], pa.binary()), pa.nulls(len(cells), pa.binary())],
+                    ["doc_id", "n_tokens", "place", "width", "ids", "counts"],
                 )
         encode.rest()
+        if len(seen):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0]), pa.array([place]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([seen.astype("<i8").tobytes()])], ["doc_id", "n_tokens", "place", "width", "ids", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, place long, width int, ids binary")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, place long, width int, ids binary, counts binary")
 
 
 def _ids(data: bytes, width: int) -> np.ndarray:
@@ -172,16 +178,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
         total += n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
         for batch in batches:
-            for data, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.bincount(_ids(data, width), minlength=len(seen))
-                got[: len(seen)] += seen
-                seen = got
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["id", "n"])
+            for data in batch.column(0).to_pylist():
+                seen = np.frombuffer(data, "<i8")
+                some = np.flatnonzero(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["id", "n"])
 
-    counted = ids.select("ids", "width").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect()  # the vocabulary at most
+    counted = ids.filter("counts is not null").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect()  # the vocabulary at most
+    ids = ids.filter("counts is null")
     counts = np.zeros(max((r[0] for r in counted), default=0) + 1, np.int64)
     for i, n in counted:
         counts[i] = n

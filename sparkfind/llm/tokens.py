@@ -21,7 +21,7 @@ _made: dict = {}
 #: ASCII marks that stand in no word (fixed: string.punctuation without the apostrophe).
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: A blank beside other white space.
-_CROWDED = re.compile(r"\s | \s").search
+_CROWDED = re.compile(r" (?:\s|(?<=\s ))").search
 
 
 def _tokenizer(path: str):
@@ -29,7 +29,7 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
+    made.encode_special_tokens = True  # as the vocabularies' own notes have it: their strings in a text are ordinary text
     return made
 
 

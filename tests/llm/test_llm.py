@@ -60,6 +60,26 @@ def test_topk_edges(spark):
     assert topk.search(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_topk_by_global_lengths(spark):
+    r = np.random.default_rng(2)
+    v = r.normal(size=(600, 6)) * r.exponential(size=(600, 1))
+    v[100:300] = v[100]  # a hot length
+    rows = spark.createDataFrame([(int(i), x.tolist(), "x", 1.0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, bucket string, norm double")
+    got: dict = {}
+    for x in topk.search(rows, rows.filter("vec_id % 20 = 0"), k=5, group_rows=50).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    e = np.floor(64 * v).astype(np.int64)
+    for q in range(0, 600, 20):
+        s = e @ e[q]
+        assert got[q] == [(c, s[c]) for c in sorted((c for c in range(600) if c != q), key=lambda c: (-s[c], c))[:5]]
+
+
+def test_topk_huge_components(spark):
+    rows = spark.createDataFrame([(1, [1e30, 1.0]), (2, [1e8, 2.0]), (3, [-1e30, 0.0])], "vec_id long, embedding array<double>")
+    got = [(x.vec_id, x.score) for x in topk.search(rows, rows.filter("vec_id = 1"), k=3).orderBy("rank").collect()]
+    assert got == [(2, topk.MOST), (3, -topk.MOST)]
+
+
 def test_topk_prunes_exactly(spark):
     r = np.random.default_rng(1)
     v = (r.normal(size=(3000, 8)) * r.exponential(size=(3000, 1)) * 64).astype(np.int64)
@@ -84,6 +104,28 @@ def test_toxicity(spark):
     assert got.filter("score < 0 or score > 1").count() == 0
     assert toxicity.score(docs, toxicity.train(docs, labels.limit(0))).select("score").distinct().count() == 1
     assert toxicity.score(docs.limit(0), model).count() == 0
+    odd = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(1).alias("toxic"), F.lit("x").alias("piece"))
+    assert toxicity.score(odd, toxicity.train(odd, labels)).count() == 400
+
+
+def test_toxicity_models_sum_to_one_and_tell_held_out_rows(spark):
+    r = np.random.default_rng(4)
+    n1, n0, kinds = r.integers(0, 50, 500), r.integers(0, 400, 500), r.integers(1, 9, 500)
+    n1[7], n0[7] = 900, 1
+    n0 = n0 + (n1 + n0 == 0)
+    shared = toxicity.shared_distribution(n1 + n0, kinds, n1.sum() + n0.sum(), 500, kinds.sum())
+    assert np.isclose(shared.sum(), 1)
+    own = [toxicity.own_part(n, n.sum(), shared) for n in (n1, n0)]
+    p = [o / n.sum() + (1 - o.sum() / n.sum()) * shared for o, n in zip(own, (n1, n0))]
+    assert np.isclose(p[0].sum(), 1) and np.isclose(p[1].sum(), 1) and own[0][7] > 0
+    want = np.log(p[0] / p[1])
+    got = toxicity.fitted(spark.createDataFrame([(i, int(a), int(b), int(k)) for i, (a, b, k) in enumerate(zip(n1, n0, kinds))], "piece long, n1 long, n0 long, kinds long")).lookup(np.arange(501, dtype=np.uint64))
+    assert np.allclose(got[:500], want) and np.isclose(got[500], np.median(want))
+    # held-out rows of a driver table: the area under the curve
+    sf = "/root/testdata/sf0.1"
+    rows = toxicity.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").select("score", "toxic").toPandas()
+    ranks, ones = rows["score"].rank(), rows["toxic"].sum()
+    assert (ranks[rows["toxic"] == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(rows) - ones)) > 0.85
 
 
 def test_packing(docs, empty):
@@ -198,6 +240,19 @@ def test_exact(docs, empty):
     assert exactdedup.dedup(empty).count() == 0
 
 
+def test_exact_hot_texts(spark):
+    """One text in many batches and windows: folded in rounds, one owner sees few entries of it."""
+    rows = [(i, ("hot  text" if i % 3 else "hot text") if i % 2 else (f"t{i}" if i % 4 else None)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(150)
+    old, exactdedup.FOLD_ROWS = exactdedup.FOLD_ROWS, 8
+    try:
+        got = {x["doc_id"]: (x["keep_id"], x["group_size"]) for x in exactdedup.dedup(docs, bucket_bytes=2048).collect()}
+    finally:
+        exactdedup.FOLD_ROWS = old
+    empty = sum(1 for _, t in rows if t is None)
+    assert got == {i: (1, 1500) if i % 2 else (i, 1) if i % 4 else (0, empty) for i, _ in rows}
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([(1, "a", 0, "reply", '{"turn":1,"text":"q \\u00e9"}'), (1, "b", 2, "reply", "{}"), (1, "c", 4, "other", "{}"), (1, "d", 6, "reply", "no json"), (1, "e", 8, "reply", '{"text":"x","turn":2}'), (1, "f", 9, "reply", '{"text":"x","turn":2}'), (1, "g", 9, "reply", '{"text":"x","turn":2}'), (None, None, None, None, None)], "conv_id long, call_id string, turn long, name string, arguments string")
     results = spark.createDataFrame([(1, "a", 1, 'say "hi"'), (1, "a", 5, "later"), (1, "z", 3, None)], "conv_id long, call_id string, turn long, content string")
@@ -231,10 +286,74 @@ def test_lines(docs, empty):
     got = {r["doc_id"]: r for r in lines.remove_lines(keyed(Workspace(docs.sparkSession, "t"), docs)).collect()}
     assert got[9]["kept_text"] == "new" and got[8]["n_removed"] == 0 and got[10]["n_removed"] == 0 and got[1]["kept_text"] == ""
     runs = lines.repeated_lines(keyed(Workspace(docs.sparkSession, "t"), docs), report_runs=True)
-    assert {r["rid"]: r["longest_run"] for r in runs.collect()}[9] == 2
+    assert {r["rid"]: r["longest_run"] for r in runs.collect()} == {8: 3, 9: 3, 10: 1, 13: 1, 14: 1}
     assert lines.remove_lines(keyed(Workspace(docs.sparkSession, "t"), empty)).count() == 0
 
 
+def lines_brute(rows):
+    """The longest run of lines of each row that is elsewhere too."""
+    seqs = {i: [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")] for i, t in rows}
+    out, width, alive = {}, 1, {(i, p) for i, s in seqs.items() for p in range(len(s))}
+    while alive:
+        found: dict = {}
+        for i, p in alive:
+            if p + width <= len(seqs[i]):
+                found.setdefault(tuple(seqs[i][p : p + width]), []).append((i, p))
+        alive = {x for xs in found.values() if len(xs) > 1 for x in xs}
+        out |= {i: width for i, _ in alive}
+        width += 1
+    return out
+
+
+def test_maximal_runs(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, "\n".join(f"line {x}" for x in r.integers(0, 3 if i % 3 else 40, r.integers(0, 40)))) for i in range(30)]
+    rows += [(50, rows[3][1] + "\nx\n" + rows[7][1]), (51, rows[3][1]), (52, "\n".join(["same"] * 21)), (53, None), (54, "alone")]
+    table = spark.createDataFrame(rows, "rid long, text string").fillna("")
+    got = {x["rid"]: x["longest_run"] for x in lines.repeated_lines(table, report_runs=True).collect()}
+    assert got == lines_brute(rows)
+    for least in (1, 3, 5):  # runs of least lines and more go, whatever least is
+        gone = {(x["rid"], i) for x in lines.repeated_lines(table, min_lines=least, long_line=1000).collect() for i in x["deleted"]}
+        seen, want = set(), set()
+        for i, t in rows:
+            s = (t or "").split("\n") if t else []
+            for p in range(len(s) - least + 1):
+                if (key := tuple(s[p : p + least])) in seen:
+                    want |= {(i, q) for q in range(p, p + least)}
+                seen.add(key)
+        assert gone == want, least
+
+
+def thue_morse(n):
+    out = "a"
+    for _ in range(n):
+        out += out.translate({97: 98, 98: 97})
+    return out, out.translate({97: 98, 98: 97})
+
+
+def test_words_that_polynomials_confuse(spark, tmp_path):
+    """Words of 1,024 letters that are equal under any polynomial hash modulo a power of two."""
+    one, other = thue_morse(10)
+    tail = " ".join(f"t{i}" for i in range(19))
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}"), (3, one), (4, other), (5, one)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x["n_removed"] for x in substrings.op4_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(range(1, 6), 0)
+    got = {x["doc_id"]: x["component_id"] for x in neardup.op10_minhash_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3}  # 1 and 2 share 18 of 20 shingles
+
+
+def test_queries_against_brute_force(spark):
+    """op4 and op10 over a whole driver table."""
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(x) for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substrings.op4_substring_dedup(spark, sf).collect()}
+    assert got == substrings.brute_force(rows)
+    sets, label = near_brute(rows)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in neardup.op10_minhash_dedup(spark, sf).collect()}
+    assert got == {i: (len(s), label.get(i, i), label.get(i, i) == i) for i, s in sets.items()}
+
+
 def near_brute(rows, k=2):
     sets = {}
     for i, t in rows:
@@ -337,7 +456,9 @@ def test_pipeline(spark, sf):
         docs = ws.save(stage(spark, docs, sf), "s")
         assert docs.columns == columns and 0 < docs.count() <= before, name
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert all(n == 0 for _, n, _ in substrings.brute_force(texts).values()) or len(texts) > 0
+    gone = {r["rid"]: r["deleted"] for r in lines.repeated_lines(spark.createDataFrame(texts, "rid long, text string").fillna("")).collect()}
+    assert len(texts) > 50 and sum(n for _, n, _ in substrings.brute_force(texts).values()) < sum(len((t or "").split()) for _, t in texts) / 100
+    assert sum(map(len, gone.values())) < len(texts)
     total = corpus_pipeline.pack(spark, docs, sf).select("doc_id").distinct().count()
     assert total == docs.count()
     assert docs.filter(F.col("n_chars") != F.length("text")).count() == 0
