@@ -10,42 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfind.llm import lines, neardup, packing, substrings, toxicity
-from sparkfind.llm.common import Workspace, keyed
+from sparkfind.llm.common import Workspace, keyed, restored
 from sparkfind.llm.tokens import public_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model does not hold to be toxic. Null and empty texts stay."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, "_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
-
-
-def _with_text(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows' own columns with the text (and n_chars) that ``found`` (rid, n_removed, kept_text) leaves."""
-    joined = rows.select("rid", "row").join(found.filter("n_removed > 0").select("rid", "kept_text"), "rid", "left")
-    new = F.coalesce("kept_text", "row.text")
-    columns = rows.schema["row"].dataType.names
-    values = {"text": new, "n_chars": F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text"))} if "n_chars" in columns else {"text": new}
-    return joined.select(*[values.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns])
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.score(docs, model, name).filter(F.col(name) < 0.5).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without later copies of repeated line runs."""
     rows = keyed(Workspace(spark, "pipeline-lines"), docs, whole=True)
-    return _with_text(rows, lines.remove_lines(rows.select("rid", "doc_id", "text")))
+    return restored(lines.remove_lines(rows), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), whole."""
     rows = keyed(Workspace(spark, "pipeline-near"), docs, whole=True)
-    kept = neardup.near_duplicates(rows.select("rid", "text"), k=5, percent=80).filter("rid = component").select("rid")
-    return rows.join(kept, "rid", "left_semi").select("row.*")
+    gone = neardup.near_duplicates(rows.select("rid", "text"), k=5, percent=80).filter("rid <> component")
+    kept = rows.join(gone.select("rid").hint("shuffle_hash"), "rid", "left_anti")
+    return restored(kept.select("rid", "row", "blank", F.col("text").alias("kept_text"), F.lit(0).alias("n_removed")), docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without later copies of passages of 20 words and more."""
     rows = keyed(Workspace(spark, "pipeline-passages"), docs, whole=True)
-    return _with_text(rows, substrings.remove_repeats(rows.select("rid", "doc_id", "text")))
+    return restored(substrings.remove_repeats(rows, verbatim=True), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
