@@ -1,4 +1,4 @@
-"""Incremental mirroring: diffs, upserts and pruning as joins; snapshots are written beside and swapped."""
+"""Incremental mirroring: diffs, upserts and pruning as joins; versions are written beside and swapped."""
 
 from __future__ import annotations
 
@@ -90,14 +90,44 @@ def add_folder(folders: DataFrame, path: str) -> DataFrame:
     return folders.select("id", "path").unionByName(new)
 
 
-def swap(df: DataFrame, path: str) -> str:
-    """Writes a new snapshot under ``path`` and makes its name current; readers of the old one go on."""
-    spark = df.sparkSession
-    name = f"snapshot-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{name}")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
-    return f"{path}/{name}"
+def _hadoop(spark, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def versions(spark, path: str) -> list[int]:
+    """Numbers of the table's versions that are whole, ascending; none where there is no table yet."""
+    fs, where = _hadoop(spark, f"{path}/versions")
+    return sorted(int(x.getPath().getName()) for x in fs.listStatus(where)) if fs.exists(where) else []
 
 
-def current(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{spark.read.parquet(f'{path}/current').first()[0]}")
+def swap(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Writes a new version of the table at ``path`` and makes it the current one.
+
+    The rows are written first. Then one empty file named by the version's number is created, which fails if
+    another writer has made it; so readers see the old version or the new one, whole, and a crash in between
+    changes nothing. Of older versions the last but ``keep`` are deleted; their readers must have ended."""
+    spark = df.sparkSession
+    have = versions(spark, path)
+    number = have[-1] + 1 if have else 1
+    name = f"{path}/rows-{number}-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    fs, marker = _hadoop(spark, f"{path}/versions/{number:012d}")
+    out = fs.create(marker, False)
+    out.write(bytearray(name.rsplit("/", 1)[1].encode()))
+    out.close()
+    for old in have[: max(0, len(have) + 1 - keep)]:
+        stale = _named(spark, path, old)
+        fs.delete(_hadoop(spark, f"{path}/versions/{old:012d}")[1], False)
+        fs.delete(_hadoop(spark, stale)[1], True)
+    return name
+
+
+def _named(spark, path: str, number: int) -> str:
+    return f"{path}/" + spark.read.text(f"{path}/versions/{number:012d}").first()[0]
+
+
+def current(spark, path: str) -> DataFrame | None:
+    """The table's current version; None where there is none yet. Any failure to read it is an error."""
+    have = versions(spark, path)
+    return spark.read.parquet(_named(spark, path, have[-1])) if have else None

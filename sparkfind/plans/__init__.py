@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import display, text, vectors
-from ..operators import embed, fusion, mirror, search
+from ..operators import fusion, mirror, search
 from ..operators.fts import bm25, bm25_sql, postings, snippets
 from ..operators.vectors import dim_guard, literal, top_similar, top_similar_grouped
+from . import mirroring
 from . import tables as T
 
 QUERIES: dict = {}
@@ -77,7 +78,7 @@ def _bm25(name, source_sql, table, weights, words):
     query(f"SELECT id, round(score, 6) AS score FROM ({bm25_sql(source_sql, 'id', weights, words)})")(run)
 
 
-_bm25("bm25_repos", T.REPOS_SQL, T.repos, search.REPO_WEIGHTS, "brand steel")
+_bm25("bm25_repos", T.REPOS_SQL, T.repos, search.REPO_WEIGHTS, "brand eco")
 _bm25("bm25_files", T.FILES_SQL, T.files, search.FILE_WEIGHTS, "the")
 _bm25("bm25_files_prefix", T.FILES_SQL, T.files, search.FILE_WEIGHTS, "heit sch")
 _bm25("bm25_files_phrase", T.FILES_SQL, T.files, search.FILE_WEIGHTS, "doc-1 src")
@@ -124,11 +125,11 @@ def rank_hybrid(spark, sf):
     return rounded(fusion.rank_hybrid(bm25(T.files(spark, sf), "id", search.FILE_WEIGHTS, "the"), [top_similar_grouped(T.chunks(spark, sf), T.vector(spark, sf))]), "score")
 
 
-REPO_HITS = fused_sql([(bm25_sql(T.REPOS_SQL, "id", search.REPO_WEIGHTS, "steel"), "score"), (grouped_sql(T.CHUNKS_SQL), "sim DESC")])
+REPO_HITS = fused_sql([(bm25_sql(T.REPOS_SQL, "id", search.REPO_WEIGHTS, "bolt"), "score"), (grouped_sql(T.CHUNKS_SQL), "sim DESC")])
 for _sort, _order in (("relevance", "score DESC, id"), ("starred", "starred_at DESC NULLS LAST, id"), ("stars", "stars DESC, id")):
 
     def _repos(spark, sf, sort=_sort):
-        found = search.search_repos(T.repos(spark, sf), T.chunks(spark, sf), "steel", T.vector(spark, sf), 30, sort)
+        found = search.search_repos(T.repos(spark, sf), T.chunks(spark, sf), "bolt", T.vector(spark, sf), 30, sort)
         return rounded(found, "score").select("id", "full_name", "stars", "starred_at", "score")
 
     _repos.__name__ = f"search_repos_{_sort}"
@@ -207,18 +208,6 @@ def clean_markdown(spark, sf):
     return T.read(spark, sf, "documents").select("doc_id", text.clean_markdown("text").alias("prose"))
 
 
-@query()
-def doc_hash(spark, sf):
-    return T.read(spark, sf, "documents").select("doc_id", text.doc_hash("text").alias("hash"))
-
-
-@query()
-def embed_pending(spark, sf):
-    docs = embed.file_docs(T.files(spark, sf))
-    none = spark.createDataFrame([], "id long, chunk_idx int, hash string, model string, vec array<float>")
-    return embed.embed_pending(docs, none, "hashing-64").select("id", "chunk_idx", "hash", F.size("vec").alias("dim"))
-
-
 # ------------------------------------------------------------------ mirroring
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_name END AS name, c_acctbal AS kept FROM customer UNION ALL SELECT -1, 'new', 5.0")
 def upsert(spark, sf):
@@ -317,4 +306,6 @@ def webkit_time(spark, sf):
     return T.read(spark, sf, "events").select("event_id", display.webkit_to_unix(F.expr("if(event_id % 5 = 0, -event_id, 13300000000000000 + event_id * 777777)")).alias("added_at"))
 
 
+mirroring.registered(query)
+
 __all__ = ["QUERIES", "SQL", "literal"]

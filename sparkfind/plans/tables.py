@@ -10,9 +10,9 @@ CASE WHEN doc_id % 5 = 0 THEN 'png' ELSE 'txt' END AS ext, n_chars AS size, 1700
 REPOS_SQL = """(SELECT p_partkey AS id, p_brand || '/' || p_name AS full_name, p_type AS description, '["' || p_brand || '","' || p_type || '"]' AS topics, p_name || ' ' || p_type AS readme,
 p_size AS stars, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE '2024-01-' || lpad(CAST(p_partkey % 28 + 1 AS VARCHAR), 2, '0') END AS starred_at FROM part)"""
 BOOKMARKS_SQL = "(SELECT page_id AS id, regexp_extract(html, '<title>([^<]*)', 1) AS title, url, 'folder ' || page_id % 7 AS folder FROM pages)"
-CHUNKS_SQL = "(SELECT vec_id % 100 AS id, embedding AS vec FROM embeddings WHERE label % 2 = 0)"
-IMAGES_SQL = "(SELECT vec_id % 20 * 5 AS id, embedding AS vec FROM embeddings WHERE label % 2 = 1 AND vec_id < 20)"
-MARKS_SQL = "(SELECT vec_id AS id, embedding AS vec FROM embeddings WHERE vec_id < 50)"
+CHUNKS_SQL = "(SELECT vec_id // 4 AS id, embedding AS vec FROM embeddings)"
+IMAGES_SQL = "(SELECT vec_id * 5 AS id, embedding AS vec FROM embeddings)"
+MARKS_SQL = "(SELECT vec_id AS id, embedding AS vec FROM embeddings)"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,15 +41,17 @@ def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").filter("label % 2 = 0").select((F.col("vec_id") % 100).alias("id"), F.col("embedding").alias("vec"))
+    """Every vector is a chunk, four to a document."""
+    return read(spark, sf_dir, "embeddings").select(F.expr("vec_id div 4").alias("id"), F.col("embedding").alias("vec"))
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").filter("label % 2 = 1 and vec_id < 20").select((F.col("vec_id") % 20 * 5).alias("id"), F.col("embedding").alias("vec"))
+    """Every vector is an image's; images are the files whose id 5 divides."""
+    return read(spark, sf_dir, "embeddings").select((F.col("vec_id") * 5).alias("id"), F.col("embedding").alias("vec"))
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").filter("vec_id < 50").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
 def vector(spark: SparkSession, sf_dir: str, vec_id: int = 7) -> list[float]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import glob
 import json
 import os
+import shutil
 import sqlite3
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,9 +63,16 @@ def firefox(bookmarks: DataFrame, places: DataFrame, depth: int = 32) -> DataFra
 
 
 def firefox_file(spark: SparkSession, path: str) -> DataFrame:
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+    """From a store, which is copied first (with its log), as the browser may hold it open."""
+    with tempfile.TemporaryDirectory() as folder:  # on the driver alone, for as long as the copy is read
+        copy = os.path.join(folder, "places.sqlite")
+        for end in ("", "-wal"):
+            if os.path.exists(path + end):
+                shutil.copyfile(path + end, copy + end)
+        db = sqlite3.connect(copy)
         marks = db.execute("select id, type, fk, parent, title, dateAdded from moz_bookmarks").fetchall()
         places = db.execute("select id, url from moz_places").fetchall()
+        db.close()
     return firefox(spark.createDataFrame(marks, "id long, type long, fk long, parent long, title string, dateAdded long"), spark.createDataFrame(places, "id long, url string"))
 
 

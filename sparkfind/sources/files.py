@@ -7,21 +7,29 @@ import io
 import os
 import re
 import zipfile
+import zlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.mirror import changed_files, missing, upsert
 from ..operators.search import IMAGE_EXTENSIONS
 
 #: Kinds of files by extension or name (fixed values).
 OFFICE_EXTENSIONS = ("docx", "xlsx", "pptx")
-TEXT_EXTENSIONS = tuple(
-    """md markdown txt rst org adoc tex csv tsv json yaml yml toml ini cfg conf xml html htm css scss less js mjs cjs
-    ts jsx tsx rs py go java c cpp cc h hpp cs rb php sh bash zsh ps1 psm1 bat cmd sql ipynb vue svelte kt swift lua r
-    pl pm ex exs erl hs ml mli scala clj cljs zig nim dart proto graphql gql dockerfile makefile gradle properties env log""".split()
-)
+TEXT_EXTENSIONS = (
+    "md", "markdown", "txt", "rst", "org", "adoc", "tex", "csv", "tsv", "json",
+    "yaml", "yml", "toml", "ini", "cfg", "conf", "xml", "html", "htm", "css",
+    "scss", "less", "js", "mjs", "cjs", "ts", "jsx", "tsx", "rs", "py",
+    "go", "java", "c", "cpp", "cc", "h", "hpp", "cs", "rb", "php",
+    "sh", "bash", "zsh", "ps1", "psm1", "bat", "cmd", "sql", "ipynb", "vue",
+    "svelte", "kt", "swift", "lua", "r", "pl", "pm", "ex", "exs", "erl",
+    "hs", "ml", "mli", "scala", "clj", "cljs", "zig", "nim", "dart", "proto",
+    "graphql", "gql", "dockerfile", "makefile", "gradle", "properties", "env", "log",
+)
 TEXT_NAMES = ("makefile", "dockerfile", "readme", "license", "justfile", "rakefile")
 MAX_CHARS, DOC_BYTES = 2 << 20, 64 << 20
 
@@ -51,7 +59,7 @@ def office_text(data: bytes) -> str | None:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             names = sorted(n for n in z.namelist() if re.fullmatch(r"word/document\.xml|xl/sharedStrings\.xml|ppt/slides/slide\d+\.xml", n))
             xml = "\n".join(z.read(n).decode("utf-8", "replace") for n in names)
-    except (zipfile.BadZipFile, KeyError, OSError):
+    except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, KeyError, ValueError, OSError):  # damaged or encrypted: no text
         return None
     xml = re.sub(r"</(w:p|a:p|si)>", "\n", xml)
     text = re.sub(r"<[^>]*>", "", xml)
@@ -108,21 +116,49 @@ def scan(spark: SparkSession, roots: list[tuple[int, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "folder_id long, path string, name string, ext string, size long, mtime long")
 
 
+def read_text(path: str, kind: str, limit: int) -> str | None:
+    """The text of a file of a kind; None for none, for a file beyond its limit (checked before it is read), and for one that is gone."""
+    most = limit if kind == "text" else max(limit, DOC_BYTES) if limit else 0
+    try:
+        if most and os.path.getsize(path) > most:
+            return None
+        with open(path, "rb") as f:
+            data = f.read()
+    except OSError:
+        return None
+    return decode(data, limit) if kind == "text" else office_text(data) if kind == "office" else pdf_text(data)
+
+
 def with_content(files: DataFrame, max_file_mb: int = 4) -> DataFrame:
-    """Files with their text: images and unknown kinds have none. 0 MB means no limit."""
-    spark = files.sparkSession
+    """Files with their text: images and unknown kinds have none. 0 MB means no limit.
+
+    Executors read the files by path, as the folders are shared; paths are names, not patterns."""
     limit = max_file_mb << 20
-    routed = files.withColumn("_kind", kind(F.col("ext"), F.col("name")))
-    paths = [r[0] for r in routed.filter("_kind in ('text', 'office', 'pdf')").select("path").collect()]  # listed on the driver already
-    if not paths:
-        return routed.drop("_kind").withColumn("content", F.lit(None).cast("string"))
-
-    @F.pandas_udf(StringType())
-    def text(kinds: pd.Series, data: pd.Series) -> pd.Series:
-        read = {"text": lambda d: decode(d, limit), "office": office_text, "pdf": pdf_text}
-        fits = lambda k, d: k == "text" or not limit or len(d) <= max(limit, DOC_BYTES)
-        return pd.Series([read[k](d) if d is not None and fits(k, d) else None for k, d in zip(kinds, data, strict=True)])
-
-    data = spark.read.format("binaryFile").load(paths).select(F.regexp_replace(F.col("path"), "^file:", "").alias("path"), F.col("content").alias("_data"))
-    read = routed.join(data, "path", "left")
-    return read.withColumn("content", F.when(F.col("_data").isNotNull(), text("_kind", "_data"))).drop("_kind", "_data")
+    routed = files.drop("content").withColumn("_kind", kind(F.col("ext"), F.col("name")))
+    names = [c for c in routed.columns if c != "_kind"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for i in range(0, batch.num_rows, 64):
+                rows = zip(at["path"].slice(i, 64).to_pylist(), at["_kind"].slice(i, 64).to_pylist())
+                found = [read_text(p, k, limit) if k in ("text", "office", "pdf") else None for p, k in rows]
+                yield pa.RecordBatch.from_arrays([*(at[n].slice(i, 64) for n in names), pa.array(found, pa.string())], [*names, "content"])
+
+    schema = StructType([*[f for f in routed.schema.fields if f.name != "_kind"], StructField("content", StringType())])
+    return routed.mapInArrow(run, schema)
+
+
+def index_folders(folders: DataFrame, known: DataFrame, max_file_mb: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The indexed files and a report (scanned, indexed, removed; one row) of the ``folders`` (id, path).
+
+    ``known`` has what ``scan`` gives, content and thumb. Files of the same time and size stay as they are; new and
+    changed ones are read, and keep their thumbnail; files that are gone go. Write the result (``mirror.swap``)
+    before the report is read again."""
+    roots = [(r["id"], r["path"]) for r in folders.select("id", "path").collect()]  # the user's registered folders: a handful
+    found = scan(folders.sparkSession, roots)
+    fresh = changed_files(found, known)
+    gone = missing(known, found, "path")
+    kept = known.join(gone.select("path"), "path", "left_anti").select(*known.columns)
+    report = found.agg(F.count(F.lit(1)).alias("scanned")).crossJoin(fresh.agg(F.count(F.lit(1)).alias("indexed"))).crossJoin(gone.agg(F.count(F.lit(1)).alias("removed")))  # one row each
+    return upsert(kept, with_content(fresh, max_file_mb), ["path"], keep=("thumb",)), report

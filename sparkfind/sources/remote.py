@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,13 @@ def check_limit(status: int, head: dict) -> None:
         raise RuntimeError(f"HTTP status {status}")
 
 
+def viewer_login(token: str, get: Fetch = fetch) -> str:
+    """The name of the token's owner; an error where the token is refused."""
+    status, head, body = get(f"{API}/user", headers(token))
+    check_limit(status, head)
+    return json.loads(body)["login"]
+
+
 def list_starred(spark: SparkSession, token: str, get: Fetch = fetch) -> DataFrame:
     """All starred repositories, page by page until a short one."""
     rows = []
@@ -76,8 +84,26 @@ def file_url(repo: str, path: str, endpoint: str | None = None) -> str:
     return f"{endpoint}/{repo}/resolve/main/{path}"
 
 
-def fetch_file(url: str, path: str, get: Fetch = fetch, tries: int = 4, pause: float = 2.0) -> str:
-    """Downloads to ``path`` unless it is there: goes on from a part, retries, renames when whole."""
+def fetch_parts(url: str, headers: dict, size: int = 1 << 20) -> tuple[int, dict, Iterator[bytes]]:
+    """As ``fetch``, with the body in parts."""
+    request = urllib.request.Request(url, headers=headers)
+    try:
+        r = urllib.request.urlopen(request, timeout=30)
+    except urllib.error.HTTPError as e:
+        return e.code, {k.lower(): v for k, v in e.headers.items()}, iter(())
+
+    def parts() -> Iterator[bytes]:
+        with r:
+            while part := r.read(size):
+                yield part
+
+    return r.status, {k.lower(): v for k, v in r.headers.items()}, parts()
+
+
+def fetch_file(url: str, path: str, get: Callable[[str, dict], tuple[int, dict, Iterable[bytes]]] = fetch_parts, tries: int = 4, pause: float = 2.0) -> str:
+    """Downloads to ``path`` unless it is there: writes what comes to a part, goes on from it, retries, renames when whole.
+
+    A part that the server can't go on from is deleted."""
     if os.path.exists(path):
         return path
     part = path + ".part"
@@ -85,21 +111,24 @@ def fetch_file(url: str, path: str, get: Fetch = fetch, tries: int = 4, pause: f
         have = os.path.getsize(part) if os.path.exists(part) else 0
         try:
             status, head, body = get(url, {"Range": f"bytes={have}-"} if have else {})
+            if status == 416:
+                os.remove(part)
             if status not in (200, 206):
                 raise OSError(f"HTTP status {status}")
             start = int(head.get("content-range", "bytes 0-").split()[1].split("-")[0]) if status == 206 else 0
             if start not in (0, have):
+                os.remove(part)
                 raise OSError("the server sent another range")
             with open(part, "r+b" if start else "wb") as f:
                 f.seek(start)
-                f.write(body)
+                for data in body:
+                    f.write(data)
                 f.truncate()
-            whole = start + int(head.get("content-length", len(body)))
-            if os.path.getsize(part) != whole:
+            if "content-length" in head and os.path.getsize(part) != start + int(head["content-length"]):
                 raise OSError("the file is short")
             os.replace(part, path)
             return path
-        except OSError:
+        except (OSError, http.client.HTTPException):
             if i == tries - 1:
                 raise
             time.sleep(pause)

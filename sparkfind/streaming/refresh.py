@@ -17,12 +17,8 @@ def refresh(spark: SparkSession, source: str, schema: str, table: str, keys: lis
     def apply(batch: DataFrame, _: int) -> None:
         values = [c for c in batch.columns if c not in keys]
         new = batch.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in values])
-        try:
-            old = current(spark, table)
-        except Exception:  # noqa: BLE001  the first batch has no table yet
-            swap(new, table)
-            return
-        swap(upsert(old, new, keys).select(*new.columns), table)
+        old = current(spark, table)
+        swap(new if old is None else upsert(old, new, keys).select(*new.columns), table)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
