@@ -21,7 +21,6 @@ Spark splits where a rank is hot. Null text: no lines, kept as empty. Ids: ``com
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,30 +66,34 @@ def maximal_runs(ws: Workspace, levels: list[DataFrame]) -> DataFrame:
     From the top level down, intervals of each width (``held``: rid, p, c for the interval, width) are cut by
     the next lower power's rank behind them. Parts of several suffixes are longer intervals; the interval
     itself is held on only while some suffix is in none of these."""
-    runs = [levels[0].select("rid", "p", F.lit(1).alias("run"))]
     held = None
-    for j in range(len(levels) - 1, -1, -1):
+    for j in range(len(levels) - 1, 0, -1):
+        whole = levels[j].select("rid", "p", F.concat_ws("/", F.lit(str(j)), F.col("rank").cast("string")).alias("c"), F.lit(1 << j).alias("width"))
         if held is not None:
-            behind = levels[j].select("rid", F.col("p").alias("at"), F.col("rank").alias("r"))
-            tried = held.withColumn("at", F.col("p") + F.col("width")).join(behind, ["rid", "at"], "left").drop("at")
+            tried = _tried(held, levels[j])
             sizes = tried.groupBy("c", "r").agg(F.count(F.lit(1)).alias("n")).withColumn("more", F.col("r").isNotNull() & (F.col("n") > 1))
             told = tried.join(sizes.filter("more").select("c", "r", "more"), ["c", "r"], "left").join(sizes.groupBy("c").agg(F.max(~F.col("more")).alias("stuck")), "c")
-            told = told if few else ws.save(told, f"told-{j}")
-            held = told.filter("more").select("rid", "p", F.concat_ws("/", "c", F.lit(str(j)), F.col("r").cast("string")).alias("c"), (F.col("width") + (1 << j)).alias("width"))
-            runs.append(held.select("rid", "p", F.col("width").alias("run")))
-            held = held.unionByName(told.filter("stuck").select("rid", "p", "c", "width"))
-        if j:
-            whole = levels[j].select("rid", "p", F.concat_ws("/", F.lit(str(j)), F.col("rank").cast("string")).alias("c"), F.lit(1 << j).alias("width"))
-            runs.append(whole.select("rid", "p", F.col("width").alias("run")))
-            if j + 1 < len(levels):  # intervals of which doubling took every suffix on are held there
-                open_ = whole.join(levels[j + 1], ["rid", "p"], "left_anti").select("c").distinct()
-                whole = whole.join(open_, "c", "left_semi").select("rid", "p", "c", "width")
-            held = whole if held is None else held.unionByName(whole)
-            # the name of an interval: 128 bits for its path of ranks
-            held = ws.save(held.select("rid", "p", F.md5(F.col("c").cast("binary")).alias("c"), "width"), f"held-{j}")
-            few = held.count() <= FEW_ROWS
-            held = held.coalesce(1) if few else held
-    return reduce(DataFrame.unionByName, runs).groupBy("rid", "p").agg(F.max("run").alias("run"))
+            # each suffix once for the longer interval, and once for the one it was in while that is open
+            kinds = F.explode(F.filter(F.array(F.when(F.col("more"), F.lit(1)), F.when(F.col("stuck"), F.lit(0))), lambda x: x.isNotNull()))
+            told = told.withColumn("on", kinds).select("rid", "p", F.when(F.col("on") == 1, F.concat_ws("/", "c", F.lit(str(j)), F.col("r").cast("string"))).otherwise(F.col("c")).alias("c"), (F.col("width") + F.col("on") * (1 << j)).alias("width"))
+            # intervals of which doubling took every suffix on are held there
+            open_ = whole.join(levels[j + 1], ["rid", "p"], "left_anti").select("c").distinct()
+            whole = told.unionByName(whole.join(open_, "c", "left_semi").select("rid", "p", "c", "width"))
+        # the name of an interval: 128 bits for its path of ranks
+        held = ws.save(whole.select("rid", "p", F.md5(F.col("c").cast("binary")).alias("c"), "width"), f"held-{j}")
+        held = held.coalesce(1) if held.count() <= FEW_ROWS else held
+    runs = levels[0].select("rid", "p", F.lit(1).alias("run"))
+    if held is not None:
+        tried = _tried(held, levels[0])
+        more = tried.filter("r is not null").groupBy("c", "r").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("c", "r", F.lit(1).alias("more"))
+        runs = runs.unionByName(tried.join(more, ["c", "r"], "left").select("rid", "p", (F.col("width") + F.coalesce("more", F.lit(0))).alias("run")))
+    return runs.groupBy("rid", "p").agg(F.max("run").alias("run"))
+
+
+def _tried(held: DataFrame, level: DataFrame) -> DataFrame:
+    """``held`` with r: the level's rank behind each interval's suffix, if it has one there."""
+    behind = level.select("rid", F.col("p").alias("at"), F.col("rank").alias("r"))
+    return held.withColumn("at", F.col("p") + F.col("width")).join(behind, ["rid", "at"], "left").drop("at")
 
 
 def repeated_lines(rows: DataFrame, min_lines: int = MIN_LINES, long_line: int = LONG_LINE, report_runs: bool = False) -> DataFrame:
