@@ -1,8 +1,8 @@
 """Full-text search: column-weighted BM25 over phrases with a prefix-matched last token.
 
 Tokens are derived in the plan, so there is no index to keep in step; ``postings`` materialises one
-for repeated queries. Counts per row come from array functions (no shuffle); one global aggregate
-(a row) gives the collection's figures and is joined back.
+for repeated queries. Counts come from one pass over the texts; only they (a few numbers a row) are
+exchanged, once, for the global aggregate (a row) of the collection's figures and for the scores.
 """
 
 from __future__ import annotations
@@ -14,18 +14,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import fold_text, phrases, tokens
+from ..functions.text import fold_text, phrases, spaced, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 CANDIDATES = 50
 
 
-def phrase_count(toks: Column, phrase: list[str]) -> Column:
-    """How often the phrase occurs in a token array; its last token stands for all that begin with it."""
+def occurrences(text: Column, part: str) -> Column:
+    """How often ``part`` occurs in the text; occurrences must not overlap."""
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(part), F.lit("")))) / len(part.encode())).cast("int")
+
+
+def phrase_count(text: Column, phrase: list[str]) -> Column:
+    """How often the phrase occurs in ``spaced`` tokens; its last token stands for all that begin with it."""
     *head, last = phrase
     if not head:
-        return F.size(F.filter(toks, lambda t: t.startswith(last)))
+        return occurrences(text, f" {last}")
     n = len(head)
+    toks = F.split(F.trim(text), " ")
 
     def at(i: Column) -> Column:
         return reduce(lambda a, b: a & b, [F.get(toks, i + k) == w for k, w in enumerate(head)], F.coalesce(F.get(toks, i + n).startswith(last), F.lit(False)))
@@ -40,22 +46,25 @@ def bm25(rows: DataFrame, key: str, weights: dict[str, float], query: str, limit
     found = phrases(query)
     if found is None:
         return rows.select(key, F.lit(0.0).alias("score")).limit(0)
-    t = rows.select(key, *[tokens(F.col(c)).alias(f"t{i}") for i, c in enumerate(weights)])
-    size = reduce(lambda a, b: a + b, [F.size(f"t{i}") for i in range(len(weights))])
+    t = rows.select(key, *[spaced(F.col(c)).alias(f"t{i}") for i, c in enumerate(weights)])
+    size = reduce(lambda a, b: a + b, [occurrences(F.col(f"t{i}"), " ") - 1 for i in range(len(weights))])
     counts = []
     for j, phrase in enumerate(found):
         each = [phrase_count(F.col(f"t{i}"), phrase) for i in range(len(weights))]
         counts += [reduce(lambda a, b: a + b, each).alias(f"n{j}"), reduce(lambda a, b: a + b, [c * float(w) for c, w in zip(each, weights.values(), strict=True)]).alias(f"f{j}")]
     # as a generator's row, so that filters on the counts don't make Spark derive the tokens anew for each of them
-    counted = t.select(key, F.inline(F.array(F.struct(size.alias("d"), *counts))))
-    stats = counted.agg(F.count(F.lit(1)).alias("rows"), F.sum("d").alias("total"), *[F.sum((F.col(f"n{j}") > 0).cast("long")).alias(f"df{j}") for j in range(len(found))])
-    hits = counted.filter(reduce(lambda a, b: a & b, [F.col(f"n{j}") > 0 for j in range(len(found))])).crossJoin(F.broadcast(stats))  # stats: one row
+    counted = t.select(key, F.inline(F.array(F.struct(size.alias("d"), *counts)))).repartition(key)
+    # both sides read one exchange of all the columns: what is pruned or filtered on one side only would be a second pass over the texts
+    used = reduce(lambda a, b: a + b, [F.sum(f"f{j}") for j in range(len(found))], F.count(key))
+    stats = counted.agg(F.count(F.lit(1)).alias("rows"), F.sum("d").alias("total"), *[F.sum((F.col(f"n{j}") > 0).cast("long")).alias(f"df{j}") for j in range(len(found))], used.alias("_used"))
+    scored = counted.crossJoin(F.broadcast(stats))  # stats: one row
+    hit = reduce(lambda a, b: a & b, [F.col(f"n{j}") > 0 for j in range(len(found))])
     score = F.lit(0.0)
     for j in range(len(found)):
         idf = F.ln((F.col("rows") - F.col(f"df{j}") + 0.5) / (F.col(f"df{j}") + 0.5))
         tf = F.col(f"f{j}")
         score = score - F.when(idf > 0, idf).otherwise(LEAST_IDF) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("d") * F.col("rows") / F.col("total")))
-    return hits.select(key, score.alias("score")).orderBy("score", key).limit(limit)
+    return scored.select(key, F.when(hit & (F.col("_used") >= 0), score).alias("score")).filter("score is not null").orderBy("score", key).limit(limit)
 
 
 def candidates(rows: DataFrame) -> DataFrame:
