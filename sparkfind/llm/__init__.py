@@ -4,6 +4,7 @@ from .bpe import op8_byte_bpe
 from .exactdedup import OP6_SQL, op6_exact_dedup
 from .huffman import op5_binary_ids
 from .lines import OP9_SQL, op9_line_dedup
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .neardup import op10_minhash_dedup
 from .packing import op3_packing
 from .substrings import op4_substring_dedup
@@ -24,6 +25,7 @@ QUERIES = {
         op8_byte_bpe,
         op9_line_dedup,
         op10_minhash_dedup,
+        op13_merkle_manifest,
     )
 }
-SQL = {"op1_topk_search": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op7_tool_calls": OP7_SQL, "op9_line_dedup": OP9_SQL}
+SQL = {"op1_topk_search": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op7_tool_calls": OP7_SQL, "op9_line_dedup": OP9_SQL, "op13_merkle_manifest": OP13_SQL}
