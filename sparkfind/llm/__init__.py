@@ -1,7 +1,9 @@
 """Training-data operators. Nothing else in the library imports this subpackage."""
 
 from .bpe import op8_byte_bpe
+from .divergence import OP12_SQL, op12_source_divergence
 from .exactdedup import OP6_SQL, op6_exact_dedup
+from .htmltext import op11_html_extraction
 from .huffman import op5_binary_ids
 from .lines import OP9_SQL, op9_line_dedup
 from .merkle import OP13_SQL, op13_merkle_manifest
@@ -25,7 +27,9 @@ QUERIES = {
         op8_byte_bpe,
         op9_line_dedup,
         op10_minhash_dedup,
+        op11_html_extraction,
+        op12_source_divergence,
         op13_merkle_manifest,
     )
 }
-SQL = {"op1_topk_search": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op7_tool_calls": OP7_SQL, "op9_line_dedup": OP9_SQL, "op13_merkle_manifest": OP13_SQL}
+SQL = {"op1_topk_search": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op7_tool_calls": OP7_SQL, "op9_line_dedup": OP9_SQL, "op12_source_divergence": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
