@@ -10,6 +10,7 @@ import atexit
 import contextlib
 import functools
 import hashlib
+import secrets
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -188,8 +189,10 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 RUN_BASE, CHECK_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-#: Keys of the two word hashes, and the longest word (bytes) that the vector path takes.
-LANES, BLOCK_WORD = (0x9E3779B97F4A7C15, 0xE7037ED1A0B428DB), 64
+#: The longest word (bytes) that the vector path takes.
+BLOCK_WORD = 64
+#: Keys of word hashes: a factor and a summand for each lane.
+Keys = tuple[tuple[int, int], ...]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -211,18 +214,24 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, lanes: int = 1) -> np.ndarray:
-    """Hashes of 64 bits of each word's bytes, a row for each lane; lanes are independent of each other.
+def secret_keys(lanes: int = 2) -> Keys:
+    """New keys, drawn on the driver for one operator call: no text can be made for words of which to collide."""
+    return tuple((secrets.randbits(64) | 1, secrets.randbits(64)) for _ in range(lanes))
 
-    A word is hashed in blocks of 8 bytes, each mixed into what came before under the lane's key, so no
-    arithmetic relation between words makes hashes collide. Longer words take a keyed cryptographic hash."""
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: Keys, lower: bool = False) -> np.ndarray:
+    """Hashes of 64 bits of each word's bytes, a row for each lane of ``keys``; lanes are independent of each other.
+
+    A word is hashed in blocks of 8 bytes, each mixed into what came before under the lane's secret key, so
+    what two words' states differ by after a block is not known to whoever writes them. Longer words take a keyed cryptographic hash."""
     data = np.zeros(len(buf) + 8, np.uint8)
     data[: len(buf)] = _LOWER[buf] if lower else buf
     at = np.ndarray((len(buf) + 1,), "<u8", data, 0, (1,))  # the 8 bytes from each place on
     size = ends - starts
+    lanes = len(keys)
     out = np.empty((lanes, len(starts)), U64)
-    for lane in range(lanes):
-        out[lane] = mix(size.astype(U64) + U64(LANES[lane]))
+    for lane, (factor, summand) in enumerate(keys):
+        out[lane] = mix(size.astype(U64) * U64(factor) + U64(summand))
     longest = int(min(size.max(initial=0), BLOCK_WORD))
     live = np.arange(len(starts))
     for i in range(0, longest, 8):
@@ -230,11 +239,12 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
             live = live[size[live] > i]
         left = np.minimum(size[live] - i, 8).astype(U64)
         block = at[starts[live] + i] & (~U64(0) >> (U64(64) - left * U64(8)))
-        for lane in range(lanes):
-            out[lane, live] = mix((out[lane, live] ^ block) * U64(LANES[lane]) + U64(LANES[1 - lane]))
+        for lane, (factor, summand) in enumerate(keys):
+            out[lane, live] = mix((out[lane, live] ^ block) * U64(factor) + U64(summand))
+    key = b"".join(x.to_bytes(8, "little") for pair in keys for x in pair)
     for w in np.flatnonzero(size > BLOCK_WORD).tolist():
         word = data[starts[w] : ends[w]].tobytes()
-        out[:, w] = np.frombuffer(hashlib.blake2b(word, digest_size=16, key=b"word").digest(), "<u8")[:lanes]
+        out[:, w] = np.frombuffer(hashlib.blake2b(word, digest_size=8 * lanes, key=key).digest(), "<u8")
     return out
 
 

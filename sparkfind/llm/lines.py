@@ -34,10 +34,10 @@ NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
 def line_table(rows: DataFrame) -> DataFrame:
-    """rid, p (place among the lines that are not blank), i (line number), h1, h2 (two hashes of 64 bits), long."""
+    """rid, p (place among the lines that are not blank), i (line number), h (128 bits of the line's SHA-256: lines equal in it are taken for equal), chars."""
     kept = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"].rlike(NOT_BLANK))
     lines = rows.select("rid", F.posexplode(kept).alias("p", "s"))
-    return lines.select("rid", "p", F.col("s.i").alias("i"), F.xxhash64(F.lit(1), "s.x").alias("h1"), F.xxhash64(F.lit(2), "s.x").alias("h2"), F.length("s.x").alias("chars"))
+    return lines.select("rid", "p", F.col("s.i").alias("i"), F.substring(F.unhex(F.sha2(F.col("s.x").cast("binary"), 256)), 1, 16).alias("h"), F.length("s.x").alias("chars"))
 
 
 def ranked(ws: Workspace, suffixes: DataFrame, keys: list[str], name: str, few: bool = False) -> tuple[DataFrame, int]:
@@ -64,19 +64,24 @@ def maximal_runs(ws: Workspace, levels: list[DataFrame]) -> DataFrame:
     """rid, p, run: the longest run that begins at each suffix of ``levels`` (widths 1, 2, 4, ...) and is elsewhere too.
 
     From the top level down, intervals of each width (``held``: rid, p, c for the interval, width) are cut by
-    the next lower power's rank behind them. Parts of several suffixes are longer intervals; the interval
-    itself is held on only while some suffix is in none of these."""
+    the next lower power's rank behind them. Parts of several suffixes are longer intervals. While some suffix is in
+    none of these, the interval itself is held on, by that one and by the first suffix of each longer part: it
+    stands for all of its part, which are equal beyond what the others can share. So of the suffixes that doubling leaves
+    at a level a number in proportion is held, as of a tree's branches, and of all others one for each class."""
     held = None
     for j in range(len(levels) - 1, 0, -1):
-        whole = levels[j].select("rid", "p", F.concat_ws("/", F.lit(str(j)), F.col("rank").cast("string")).alias("c"), F.lit(1 << j).alias("width"))
+        whole = levels[j]
+        if j + 1 < len(levels):  # of the suffixes that doubling took on the first of each class
+            whole = whole.join(levels[j + 1].filter("later").select("rid", "p"), ["rid", "p"], "left_anti")
+        whole = whole.select("rid", "p", F.concat_ws("/", F.lit(str(j)), F.col("rank").cast("string")).alias("c"), F.lit(1 << j).alias("width"))
         if held is not None:
             tried = _tried(held, levels[j])
-            sizes = tried.groupBy("c", "r").agg(F.count(F.lit(1)).alias("n")).withColumn("more", F.col("r").isNotNull() & (F.col("n") > 1))
-            told = tried.join(sizes.filter("more").select("c", "r", "more"), ["c", "r"], "left").join(sizes.groupBy("c").agg(F.max(~F.col("more")).alias("stuck")), "c")
-            # each suffix once for the longer interval, and once for the one it was in while that is open
-            kinds = F.explode(F.filter(F.array(F.when(F.col("more"), F.lit(1)), F.when(F.col("stuck"), F.lit(0))), lambda x: x.isNotNull()))
+            sizes = tried.groupBy("c", "r").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "p")).alias("first")).withColumn("more", F.col("r").isNotNull() & (F.col("n") > 1))
+            told = tried.join(sizes.filter("more").select("c", "r", "more", "first"), ["c", "r"], "left").join(sizes.groupBy("c").agg(F.max(~F.col("more")).alias("stuck")), "c")
+            stays = F.col("stuck") & (F.col("more").isNull() | ((F.col("first.rid") == F.col("rid")) & (F.col("first.p") == F.col("p"))))
+            kinds = F.explode(F.filter(F.array(F.when(F.col("more"), F.lit(1)), F.when(stays, F.lit(0))), lambda x: x.isNotNull()))
             told = told.withColumn("on", kinds).select("rid", "p", F.when(F.col("on") == 1, F.concat_ws("/", "c", F.lit(str(j)), F.col("r").cast("string"))).otherwise(F.col("c")).alias("c"), (F.col("width") + F.col("on") * (1 << j)).alias("width"))
-            # intervals of which doubling took every suffix on are held there
+            # intervals of which doubling took every suffix on are not held here
             open_ = whole.join(levels[j + 1], ["rid", "p"], "left_anti").select("c").distinct()
             whole = told.unionByName(whole.join(open_, "c", "left_semi").select("rid", "p", "c", "width"))
         # the name of an interval: 128 bits for its path of ranks
@@ -100,7 +105,7 @@ def repeated_lines(rows: DataFrame, min_lines: int = MIN_LINES, long_line: int =
     """rid, deleted (line numbers) of every row with deleted lines; with report_runs also longest_run: lines
     of the longest run in the row that is elsewhere too (in it or in another), for every row that has one."""
     ws = Workspace(rows.sparkSession, "lines")
-    first, n = ranked(ws, line_table(rows), ["h1", "h2"], "0")
+    first, n = ranked(ws, line_table(rows), ["h"], "0")
     places = first.select("rid", "p", "i")
     gone = first.filter((F.col("chars") >= long_line) | F.lit(min_lines <= 1)).filter("later").select("rid", "i")
     levels, most = [first.select("rid", "p", "rank", "later")], min_lines.bit_length() - 1

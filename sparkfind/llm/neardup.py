@@ -21,7 +21,7 @@ that depends on the set's size are made (about m ln m per set, not m per element
    are verified without an estimate, those that step 3 left out among them.
 
 At similarity 0.8 a pair shares no bucket with probability below 1e-8. Nulls and texts without words
-have an empty set and no links. Sets are counted, and equal sets found, by hashes of 64 and 128 bits. Null or repeated ids: see ``common.keyed``. Empty table: no rows.
+have an empty set and no links. Shingles are told apart, and equal sets found, by 128 bits under keys drawn for the call. Null or repeated ids: see ``common.keyed``. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHECK_BASE, U64, Workspace, keyed, mix, run_hashes, schema_columns, signed, text_chunks, word_hashes, words
+from .common import CHECK_BASE, U64, Keys, Workspace, keyed, mix, run_hashes, schema_columns, secret_keys, signed, text_chunks, word_hashes, words
 from .components import connected_components
 
 BASE, SHIFT, TOP = 1.2, 40, 254
@@ -43,11 +43,13 @@ REGISTERS = BANDS * ROWS
 DOUBT = 12.0
 #: Pairs of one row that one copy of its set serves.
 SALTED = 256
+#: Sets of at most so many shingles are compared where they share two of their rarest, larger ones where they share one.
+SMALL = 60
 SKETCH = "rid long, n_shingles long, d1 long, d2 long, registers binary"
 
 
 def shingle_sets(lanes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, sorted, as (row, hash, the second lane's hash); a text of fewer words than k has its whole sequence."""
+    """Distinct shingles of each text by both lanes, sorted, as (row, hash, the second lane's hash); a text of fewer words than k has its whole sequence."""
     w, check = lanes
     counts = np.diff(first)
     row = np.repeat(np.arange(len(counts)), counts)
@@ -63,11 +65,11 @@ def shingle_sets(lanes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarr
             hashes.append(run_hashes(w, n)[at] ^ U64(n))
             checks.append(run_hashes(check, n, CHECK_BASE)[at] ^ U64(n))
     rows, hashes, checks = np.concatenate(rows), np.concatenate(hashes), np.concatenate(checks)
-    order = np.lexsort((hashes, rows))
-    rows, hashes = rows[order], hashes[order]
+    order = np.lexsort((checks, hashes, rows))
+    rows, hashes, checks = rows[order], hashes[order], checks[order]
     fresh = np.ones(len(rows), bool)
-    fresh[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
-    return rows[fresh], hashes[fresh], checks[order][fresh]
+    fresh[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
+    return rows[fresh], hashes[fresh], checks[fresh]
 
 
 def shingles_of(text: str, k: int) -> set[tuple]:
@@ -114,19 +116,19 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return key
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, k: int, keys: Keys) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray, np.ndarray]]:
     rid, text = schema_columns(batch, "rid", "text")
     for i, j, buf, off in text_chunks(text, 1 << 20):
         starts, ends, first = words(buf, off)
-        yield rid.slice(i, j - i), j - i, *shingle_sets(word_hashes(buf, starts, ends, lower=True, lanes=2), first, k)
+        yield rid.slice(i, j - i), j - i, *shingle_sets(word_hashes(buf, starts, ends, keys, lower=True), first, k)
 
 
-def sketch(docs: DataFrame, k: int) -> DataFrame:
+def sketch(docs: DataFrame, k: int, keys: Keys) -> DataFrame:
     """Size, digest and registers of the shingle set of each whole text of ``docs`` (rid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, n, rows, hashes, checks in _sets(batch, k):
+            for rid, n, rows, hashes, checks in _sets(batch, k, keys):
                 regs = registers(rows, hashes, n)
                 sizes = np.bincount(rows, minlength=n)
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
@@ -139,12 +141,12 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("rid", "text").mapInArrow(run, SKETCH)
 
 
-def shingles(docs: DataFrame, k: int) -> DataFrame:
+def shingles(docs: DataFrame, k: int, keys: Keys) -> DataFrame:
     """rid and the full set of shingle hashes of ``docs`` (rid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, n, rows, hashes, _ in _sets(batch, k):
+            for rid, n, rows, hashes, _ in _sets(batch, k, keys):
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
                 yield pa.RecordBatch.from_arrays([rid, pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(signed(hashes)))], ["rid", "shingles"])
 
@@ -255,24 +257,35 @@ def prefix_pairs(ws: Workspace, nodes: DataFrame, sets: DataFrame, percent: int)
     """Pairs (a, b) of ``nodes`` (rid, label, n: its shingles) of different labels that can reach the threshold: all of them that do.
 
     A set's shingles stand in the order (rows that have it, hash), rarest first. Two sets of the
-    threshold share one of each one's first ``n - ceil(t n) + 1``, and from the first shared one on
-    enough are left. Shingles of one row alone only count for the places of the others."""
+    threshold share one of each one's first ``n - ceil(t n) + 1``, and two of one more; from the first shared one on
+    enough are left. Shingles of one row alone only count for the places of the others. Two sets of at most
+    ``SMALL`` meet by two shingles, so a shingle that many short texts have makes no pairs by itself; others by one.
+    A set to which the threshold allows no set but its equal meets it by all of its shingles."""
     each = sets.select("rid", F.explode("shingles").alias("s"))
     shared = ws.save(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
     ranked = each.join(shared, "s").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("ranked"))
     ranked = ranked.join(nodes, "rid")
-    first = F.expr(f"n - int(ceil({percent} * n / 100)) + 1 - (n - size(ranked))")
-    prefix = ranked.filter(first > 0).select("rid", "label", "n", (F.col("n") - F.size("ranked")).alias("own"), F.posexplode(F.slice("ranked", F.lit(1), first)).alias("i", "x"))
-    prefix = ws.save(prefix.select("rid", "label", "n", F.expr("n - own - i").alias("left"), "x.s"), "prefix")
+    first = f"n - int(ceil({percent} * n / 100)) - (n - size(ranked))"  # and one for each shingle to share
+    own = ranked.select("rid", "label", "n", F.expr(f"transform(slice(ranked, 1, greatest(0, {first} + 1)), x -> x.s)").alias("one"), F.expr(f"transform(slice(ranked, 1, greatest(0, {first} + 2)), x -> x.s)").alias("two"), F.size("ranked").alias("size"), F.expr("xxhash64(transform(ranked, x -> x.s))").alias("all"))
+    ones = "transform(one, (s, i) -> struct(size - i as left, s, cast(null as bigint) as t))"
+    twos = "flatten(transform(two, (s, i) -> transform(slice(two, i + 2, size(two)), t -> struct(size - i as left, s, t))))"
+    none = "cast(array() as array<struct<left:int,s:bigint,t:bigint>>)"
+    equal = "if(size = n, array(struct(size as left, `all` as s, cast(n as bigint) as t)), cast(array() as array<struct<left:int,s:bigint,t:bigint>>))"
+    keys = F.expr(f"if(100 * n < {percent} * (n + 1), {equal}, concat(if(100 * n >= {percent * SMALL}, {ones}, {none}), if(n <= {SMALL}, {twos}, {none})))")
+    prefix = ws.save(own.select("rid", "label", "n", F.inline(keys)), "prefix")
     enough = f"100 * least(x.left, y.left) >= {percent} * (x.n + y.n - least(x.left, y.left))"
-    found = prefix.alias("x").join(prefix.alias("y"), F.expr(f"x.s = y.s and x.label <> y.label and x.rid < y.rid and {enough}"))
-    return found.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+    apart = f"x.label <> y.label and x.rid < y.rid and {enough}"
+    x, y = prefix.alias("x"), prefix.alias("y")
+    by_one = x.filter("t is null").join(y.filter("t is null"), F.expr(f"x.s = y.s and greatest(x.n, y.n) > {SMALL} and {apart}"))
+    by_two = x.filter("t is not null").join(y.filter("t is not null"), F.expr(f"x.s = y.s and x.t = y.t and {apart}"))
+    return by_one.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).unionByName(by_two.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))).distinct()
 
 
 def near_duplicates(rows: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
     """rid, n_shingles and component (a rid) for every one of ``rows`` (rid, text; see ``common.keyed``)."""
     ws = Workspace(rows.sparkSession, "near")
-    sketched = ws.save(sketch(rows, k), "sketch")
+    keys = secret_keys()
+    sketched = ws.save(sketch(rows, k, keys), "sketch")
     # classes of equal sets: pre-aggregated by digest, so copies reach a task as partial minima
     classes = ws.save(sketched.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("rid").alias("class")), "classes")
     heads = sketched.join(classes.select(F.col("class").alias("rid")), "rid", "left_semi")
@@ -292,7 +305,7 @@ def near_duplicates(rows: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     rest = tagged.join(mixed, "bucket")
     nodes = ws.save(rest.groupBy("rid").agg(F.min("label").alias("label")).join(heads.select("rid", F.col("n_shingles").alias("n")), "rid"), "open")
     ws.drop("members")
-    sets = ws.save(shingles(rows.select("rid", "text").join(nodes.select("rid").hint("shuffle_hash"), "rid", "left_semi"), k), "shingles")
+    sets = ws.save(shingles(rows.select("rid", "text").join(nodes.select("rid").hint("shuffle_hash"), "rid", "left_semi"), k, keys), "shingles")
     across = prefix_pairs(ws, nodes, sets, percent)
     untested = salted(ws, across.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     ws.drop("shingles", "shared", "prefix")

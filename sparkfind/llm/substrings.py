@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import CHECK_BASE, U64, Workspace, keyed, options, run_hashes, schema_columns, signed, text_chunks, word_hashes, words
+from .common import CHECK_BASE, U64, Keys, Workspace, keyed, options, run_hashes, schema_columns, secret_keys, signed, text_chunks, word_hashes, words
 
 WORDS = 20
 
@@ -49,10 +49,10 @@ def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
 class Windows:
     """The windows of a chunk of texts: which start where, and their anchors."""
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, k: int):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, k: int, keys: Keys):
         self.buf, self.k, self.short = buf, k, k // 2
         self.starts, self.ends, self.first = words(buf, off)
-        self.w, self.check = word_hashes(buf, self.starts, self.ends, lanes=2)
+        self.w, self.check = word_hashes(buf, self.starts, self.ends, keys)
         counts = np.diff(self.first)
         self.row = np.repeat(np.arange(len(counts)), counts)
         n = len(self.w)
@@ -88,26 +88,26 @@ def _positions(lists: list, first: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def _anchors(k: int):
+def _anchors(k: int, keys: Keys):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, text = schema_columns(batch, "rid", "text")
             rid = rid.to_numpy()
             for i, _, buf, off in text_chunks(text):
-                c = Windows(buf, off, k)
+                c = Windows(buf, off, k, keys)
                 at, g = c.anchors()
                 yield pa.RecordBatch.from_arrays([pa.array(signed(g[at])), pa.array(rid[i + c.row[at]]), pa.array((at - c.first[c.row[at]]).astype(np.int32))], ["g", "rid", "pos"])
 
     return run
 
 
-def _edges(k: int):
+def _edges(k: int, keys: Keys):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, text, once = schema_columns(batch, "rid", "text", "once")
             rid = rid.to_numpy()
             for i, j, buf, off in text_chunks(text):
-                c = Windows(buf, off, k)
+                c = Windows(buf, off, k, keys)
                 at = c.candidates(_positions(once.slice(i, j - i).to_pylist(), c.first))
                 if not len(at):
                     continue
@@ -124,12 +124,12 @@ def _edges(k: int):
     return run
 
 
-def _cover(k: int, schema: list[str], verbatim: bool):
+def _cover(k: int, keys: Keys, schema: list[str], verbatim: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, once, firsts, lasts = schema_columns(batch, "text", "once", "firsts", "lasts")
             for i, j, buf, off in text_chunks(text):
-                c = Windows(buf, off, k)
+                c = Windows(buf, off, k, keys)
                 at = c.candidates(_positions(once.slice(i, j - i).to_pylist(), c.first))
                 n = len(c.w)
                 copy = np.zeros(n + 1, bool)
@@ -176,12 +176,12 @@ def remove_repeats(rows: DataFrame, k: int = WORDS, verbatim: bool = False) -> D
 
     kept_text joins the kept words by one blank; with ``verbatim`` a text of which nothing goes stays as it is."""
     spark = rows.sparkSession
-    ws = Workspace(spark, "substrings")
-    anchors = rows.select("rid", "text").mapInArrow(_anchors(k), "g long, rid long, pos int")
+    ws, keys = Workspace(spark, "substrings"), secret_keys()
+    anchors = rows.select("rid", "text").mapInArrow(_anchors(k, keys), "g long, rid long, pos int")
     single = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid"), F.min("pos").alias("pos")).filter("n = 1")
     once = ws.save(single.groupBy("rid").agg(F.collect_list("pos").alias("once")), "once")
     marked = rows.select("rid", "text").join(once.hint("shuffle_hash"), "rid", "left")
-    found = marked.select("rid", "text", "once").mapInArrow(_edges(k), "h long, c long, rid long, pos int, n long")
+    found = marked.select("rid", "text", "once").mapInArrow(_edges(k, keys), "h long, c long, rid long, pos int, n long")
     edges = ws.save(found.groupBy("h", "c").agg(F.min("rid").alias("rid"), F.min_by("pos", "rid").alias("pos"), F.sum("n").alias("n")).select("rid", "pos", "n"), "edges")
     with options(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
         paths = ws.save(paths_of(edges), "paths")
@@ -189,7 +189,7 @@ def remove_repeats(rows: DataFrame, k: int = WORDS, verbatim: bool = False) -> D
     out = rows.join(once.hint("shuffle_hash"), "rid", "left").join(paths.hint("shuffle_hash"), "rid", "left")
     kept = [f for f in rows.schema.fields if f.name != "text"]
     schema = StructType([*kept, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
-    return out.mapInArrow(_cover(k, schema.names, verbatim), schema)
+    return out.mapInArrow(_cover(k, keys, schema.names, verbatim), schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -401,6 +401,45 @@ def test_prefix_pairs_lose_no_link(spark):
     assert neardup.prefix_pairs(Workspace(spark, "t"), nodes.limit(0), table, 80).count() == 0
 
 
+def test_prefix_pairs_of_short_texts(spark):
+    """Short texts of few common shingles: pairs in proportion to what is alike, not to the square of their number."""
+    r = np.random.default_rng(5)
+    sets = {}
+    for i in range(2000):
+        sets.setdefault(tuple(sorted(r.choice(40, int(r.integers(3, 5)), replace=False).tolist())), i)
+    nodes = spark.createDataFrame([(i, i, len(x)) for x, i in sets.items()], "rid long, label long, n long")
+    table = spark.createDataFrame([(i, list(x)) for x, i in sets.items()], "rid long, shingles array<long>")
+    assert neardup.prefix_pairs(Workspace(spark, "t"), nodes, table, 80).count() < 4 * len(sets)
+
+
+def test_words_made_to_collide(spark):
+    """Words and lines that fixed hashes of 64 bits don't tell apart."""
+    text = 'a ?1jw)"w\\>9wwm4>4 a %bs^4q\\k2y~53t`! a'
+    rows = spark.createDataFrame([(1, text)], "rid long, text string")
+    assert neardup.near_duplicates(rows).first()["n_shingles"] == 4
+    pair = ["97G)@5R{filler..filler..filler..F7Ztw+mlfiller..filler..filler..", "97G)@5Rkfiller..filler..filler..F7Z,}+6Ffiller..filler..filler.."]
+    both = spark.createDataFrame(list(enumerate(pair)), "rid long, text string")
+    assert [r["n_removed"] for r in lines.remove_lines(both).collect()] == [0, 0]
+
+
+def test_equal_lines_stay_linear(spark, monkeypatch):
+    """A text of n equal lines stages rows in proportion to n at each level; runs are right to the line."""
+    staged = {}
+    save = Workspace.save
+
+    def counted(self, df, name):
+        table = save(self, df, name)
+        staged[name] = table.count()
+        return table
+
+    monkeypatch.setattr(Workspace, "save", counted)
+    for n in (500, 1000):
+        staged.clear()
+        rows = spark.createDataFrame([(1, "\n".join(["the same line"] * n)), (2, "other\n" + "\n".join(["the same line"] * 7))], "rid long, text string")
+        got = {r["rid"]: (r["n_removed"], r["longest_run"]) for r in lines.remove_lines(rows, report_runs=True).collect()}
+        assert got == {1: (n - 1, n - 1), 2: (7, 7)} and max(staged.values()) <= 2 * n + 14, staged
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40) if i % 7] + [(100, 3), (101, 100)]
     got = {r["node"]: r["label"] for r in connected_components(Workspace(spark, "t"), spark.createDataFrame(links, "a long, b long"), "t").collect()}
