@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .collections import page_size
 from .fts import CANDIDATES, bm25, candidates, snippets
 from .fusion import rank_hybrid
+from .index import Index
 from .vectors import top_similar, top_similar_grouped
 
 REPO_WEIGHTS = {"full_name": 8, "description": 4, "topics": 4, "readme": 1}
@@ -19,6 +21,11 @@ def is_image(ext: Column) -> Column:
     return F.coalesce(ext.isin(*IMAGE_EXTENSIONS), F.lit(False))
 
 
+def text_hits(rows: DataFrame, weights: dict[str, int], query: str, index: Index | None) -> DataFrame:
+    """Candidates by text, from the index of the rows where there is one, else by a pass over the rows."""
+    return index.search(query, weights) if index else candidates(bm25(rows, "id", weights, query))
+
+
 def recent_repos(repos: DataFrame, limit: int) -> DataFrame:
     return repos.orderBy(F.desc_nulls_last("starred_at"), F.desc("id")).limit(limit)
 
@@ -27,11 +34,14 @@ def recent_files(files: DataFrame, limit: int) -> DataFrame:
     return files.orderBy(F.desc_nulls_last("mtime"), F.desc("id")).limit(limit)
 
 
-def search_repos(repos: DataFrame, chunks: DataFrame, query: str, vector: list[float] | None, limit: int, sort: str = "relevance") -> DataFrame:
-    """Repositories with score; ``sort`` (relevance, starred, stars) reorders exactly the best ``limit``."""
+def search_repos(repos: DataFrame, chunks: DataFrame, query: str, vector: list[float] | None, limit: int | None = None, sort: str = "relevance", index: Index | None = None) -> DataFrame:
+    """Repositories with score; ``sort`` (relevance, starred, stars) reorders exactly the best ``limit``.
+
+    Without a limit 30 are given, and never more than 100, as in the other searches."""
+    limit = page_size(limit)
     if not query.strip():
         return recent_repos(repos, limit).withColumn("score", F.lit(0.0))
-    text = candidates(bm25(repos, "id", REPO_WEIGHTS, query))
+    text = text_hits(repos, REPO_WEIGHTS, query, index)
     near = [candidates(top_similar_grouped(chunks, vector))] if vector else []
     best = rank_hybrid(text, near).orderBy(F.desc("score"), "id").limit(limit)
     found = repos.join(F.broadcast(best), "id")  # limit rows at most
@@ -39,12 +49,13 @@ def search_repos(repos: DataFrame, chunks: DataFrame, query: str, vector: list[f
     return found.orderBy(*order, "id")
 
 
-def search_files(files: DataFrame, chunks: DataFrame, images: DataFrame, query: str, vector: list[float] | None, image_vector: list[float] | None, limit: int, scope: str = "all") -> DataFrame:
+def search_files(files: DataFrame, chunks: DataFrame, images: DataFrame, query: str, vector: list[float] | None, image_vector: list[float] | None, limit: int | None = None, scope: str = "all", index: Index | None = None) -> DataFrame:
     """Files with score and snippet. The scope (all, text, images) applies after fusion, before the limit."""
+    limit = page_size(limit)
     within = {"all": F.lit(True), "images": is_image(F.col("ext")), "text": ~is_image(F.col("ext"))}[scope]
     if not query.strip():
         return recent_files(files.filter(within), limit).withColumn("score", F.lit(0.0)).withColumn("snippet", F.lit(None).cast("string"))
-    text = candidates(bm25(files, "id", FILE_WEIGHTS, query))
+    text = text_hits(files, FILE_WEIGHTS, query, index)
     near = [candidates(top_similar_grouped(chunks, vector))] if vector and scope != "images" else []
     near += [candidates(top_similar(images, image_vector))] if image_vector and scope != "text" else []
     fused = rank_hybrid(text, near)  # CANDIDATES rows a list at most
@@ -53,17 +64,18 @@ def search_files(files: DataFrame, chunks: DataFrame, images: DataFrame, query:
     return found.join(hits, "id", "left").withColumn("snippet", F.when(F.col("hit"), snippets(F.col("content"), query))).drop("hit").orderBy(F.desc("score"), "id")
 
 
-def search_bookmarks(bookmarks: DataFrame, vectors: DataFrame, query: str, vector: list[float] | None, limit: int) -> DataFrame:
+def search_bookmarks(bookmarks: DataFrame, vectors: DataFrame, query: str, vector: list[float] | None, limit: int | None = None, index: Index | None = None) -> DataFrame:
     """Bookmarks with score; a blank query finds none."""
-    text = candidates(bm25(bookmarks, "id", BOOKMARK_WEIGHTS, query))
+    limit = page_size(limit)
+    text = text_hits(bookmarks, BOOKMARK_WEIGHTS, query, index)
     near = [candidates(top_similar(vectors, vector))] if vector and query.strip() else []
     best = rank_hybrid(text, near).orderBy(F.desc("score"), "id").limit(limit)
     return bookmarks.join(F.broadcast(best), "id").orderBy(F.desc("score"), "id")
 
 
-def search_images(files: DataFrame, images: DataFrame, vector: list[float], limit: int) -> DataFrame:
+def search_images(files: DataFrame, images: DataFrame, vector: list[float], limit: int | None = None) -> DataFrame:
     """Image files by raw similarity."""
-    best = top_similar(images, vector, limit).withColumnRenamed("sim", "score")
+    best = top_similar(images, vector, page_size(limit)).withColumnRenamed("sim", "score")
     return files.join(F.broadcast(best), "id").orderBy(F.desc("score"), "id")
 
 

@@ -8,7 +8,7 @@ from ..functions import display, text, vectors
 from ..operators import fusion, mirror, search
 from ..operators.fts import bm25, bm25_sql, postings, snippets
 from ..operators.vectors import dim_guard, literal, top_similar, top_similar_grouped
-from . import mirroring
+from . import indexed, mirroring
 from . import tables as T
 
 QUERIES: dict = {}
@@ -307,5 +307,6 @@ def webkit_time(spark, sf):
 
 
 mirroring.registered(query)
+indexed.registered(query)
 
 __all__ = ["QUERIES", "SQL", "literal"]
