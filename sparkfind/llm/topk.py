@@ -4,7 +4,9 @@ All candidates are dealt by length (Euclidean norm) into buckets, from the longe
 many rows is split into groups of about ``group_rows``. The queries, in blocks, search the longest
 bucket first. That gives each query theta, its k-th best score so far, which travels with it to the
 other buckets; a block is sent to those only that one of its queries can still reach, theta being at
-most |q| l with l the bucket's longest length. Inside a group, in runs of ``BUCKET_ROWS`` from the
+most |q| l with l the bucket's longest length. Queries are dealt anew by theta / |q|, the length below which nothing
+matters to them, so those of a share stop at about the same bucket, and a candidate is copied for the shares
+alone that reach its bucket. Inside a group, in runs of ``BUCKET_ROWS`` from the
 longest down, a run can only matter if the local cosine threshold theta / (|q| l) is at most 1; then
 
 - length pruning keeps the run's prefix of vectors with |p| >= theta / |q| (chosen while the
@@ -16,8 +18,8 @@ What is left is verified by exact integer products. Each group gives at most k r
 the best k of those are the answer, ties to the smaller id.
 
 A vector takes part if it is not null and no component is null, NaN or infinite; shorter vectors are
-padded with zeros; an empty vector is a zero vector. Components beyond 62 bits count as the nearest
-number of 62 bits, and so do scores. Rows with a null id take no part. Rows that
+padded with zeros; an empty vector is a zero vector. Components that a long doesn't hold count as the nearest
+that it does (but its least), and so do scores. Rows with a null id take no part. Rows that
 share an id are candidates of their own, but never answers to a query of their id; of repeated
 query rows each asks once per different vector. Other columns are ignored. Empty tables give no rows.
 """
@@ -31,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, range_ordinals
 
 QUERY_ROWS, QUERY_BLOCKS, BUCKET_ROWS, LENGTHS = 256, 64, 1024, 64
-MOST = (1 << 62) - 1
+MOST = (1 << 63) - 1
 COORDINATE_FROM = 0.7
 RESULT = "query_id long, q long, vec_id long, score long"
 RESULT_SCHEMA = pa.schema([("query_id", pa.int64()), ("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -84,7 +86,7 @@ class Group:
         nq, n = len(q), len(self.ids)
         lengths = np.sqrt((q.astype(np.float64) ** 2).sum(1))
         focus = np.abs(q).argmax(1) if q.shape[1] else np.zeros(nq, np.int64)
-        least = -(1 << 62)  # below any score; its negative is a number too
+        least = -(1 << 63)  # below any score; descending order is that of the complement, which any long has
         best = np.full((nq, k), least, np.int64)  # scores
         where = np.full((nq, k), -1, np.int64)
         theta = np.full(nq, -np.inf) if theta is None else theta.copy()
@@ -117,16 +119,16 @@ class Group:
                 both = np.concatenate([best[rows], scores], 1)
                 spots = np.concatenate([where[rows], np.broadcast_to(cand, scores.shape)], 1)
                 if both.shape[1] > 4 * k:  # cheap cut by score; whoever ties with the k-th stays
-                    kth = -np.partition(-both, k - 1, axis=1)[:, k - 1]
+                    kth = ~np.partition(~both, k - 1, axis=1)[:, k - 1]
                     keep = (both >= kth[:, None]) & (both > least)
                     for r in range(len(rows)):
                         s = np.flatnonzero(keep[r])
-                        s = s[np.lexsort((self.place[spots[r, s]], -both[r, s]))][:k]
+                        s = s[np.lexsort((self.place[spots[r, s]], ~both[r, s]))][:k]
                         best[rows[r], : len(s)], where[rows[r], : len(s)] = both[r, s], spots[r, s]
                 else:
                     tie = np.where(spots >= 0, self.place[spots], np.iinfo(np.int64).max)
                     for r in range(len(rows)):
-                        s = np.lexsort((tie[r], -both[r]))[:k]
+                        s = np.lexsort((tie[r], ~both[r]))[:k]
                         best[rows[r]], where[rows[r]] = both[r, s], spots[r, s]
                 theta[rows] = np.maximum(theta[rows], np.where(best[rows, k - 1] > least, best[rows, k - 1].astype(np.float64), -np.inf))
         row, col = np.nonzero(best > least)
@@ -147,7 +149,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, group_rows: int
     vectors, asked = _taking_part(vectors, id_col, vector_col), _taking_part(queries, id_col, vector_col).distinct()
     n, n_queries = vectors.count(), asked.count()
     blocks = max(1, math.ceil(n_queries / QUERY_ROWS))
-    shares = math.ceil(blocks / QUERY_BLOCKS)
     lengths = max(1, min(LENGTHS, math.ceil(n / group_rows)))
     # descending bounds between buckets: a bucket is the number of bounds that a length does not reach
     bounds = sorted(set(vectors.approxQuantile("norm", [i / lengths for i in range(1, lengths)], 0.001)), reverse=True) if lengths > 1 and n else []
@@ -159,32 +160,37 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, group_rows: int
     groups = {b: math.ceil(size / group_rows) for b, (size, _) in sizes.items()}
     split = F.create_map(*[F.lit(x) for item in groups.items() for x in item])[F.col("bucket")]
     # rows of one length, even of one id, are dealt evenly
-    dealt = dealt.withColumn("g", F.pmod(F.monotonically_increasing_id(), split).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    dealt = dealt.select("bucket", "g", "s", "vec_id", "v")
+    dealt = dealt.withColumn("g", F.pmod(F.monotonically_increasing_id(), split).cast("int")).select("bucket", "g", "vec_id", "v")
     asked = ws.save(asked.select("vec_id", "v", "norm", F.monotonically_increasing_id().alias("q"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("b")), "queries")
     top, rest = min(sizes), sorted(sizes)[1:]
-    first = ws.save(_meet(dealt.filter(F.col("bucket") == top), _sent(asked.withColumn("theta", F.lit(float("-inf"))), [top], sizes, groups, shares), k), "first")
+    first = ws.save(_meet(ws, dealt.filter(F.col("bucket") == top), _sent(asked.withColumn("theta", F.lit(float("-inf"))), [top], sizes, groups), k, "top"), "first")
     found = first
     if rest:
         kth = first.groupBy("q").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("q", F.get("s", F.lit(k - 1)).cast("double").alias("theta"))  # k scores a group of the bucket
-        told = ws.save(asked.join(kth, "q", "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf")))), "told")
-        found = first.unionByName(_meet(dealt.filter(F.col("bucket") > top), _sent(told, rest, sizes, groups, shares), k))
+        told = asked.join(kth, "q", "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf"))))
+        need = F.when(F.col("norm") > 0, F.col("theta") / F.col("norm")).when(F.col("theta") > 0, float("inf")).otherwise(float("-inf"))
+        told = range_ordinals(ws, told.withColumn("need", need), ["need", "q"], "told").withColumn("b", F.expr(f"cast(ordinal div {QUERY_ROWS} as int)"))
+        found = first.unionByName(_meet(ws, dealt.filter(F.col("bucket") > top), _sent(told, rest, sizes, groups), k, "rest"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _sent(asked: DataFrame, buckets: list[int], sizes: dict, groups: dict, shares: int) -> DataFrame:
-    """bucket, g, s, queries: each block of queries for every group of the buckets that one of its queries can reach."""
+def _sent(asked: DataFrame, buckets: list[int], sizes: dict, groups: dict) -> DataFrame:
+    """s (the share), queries, reached (bucket, groups): each block of queries with the buckets that one of its queries can reach."""
     blocks = asked.groupBy("b").agg(F.collect_list(F.struct("vec_id", "v", "q", "theta", "norm")).alias("queries"))
     options = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(groups[b]).alias("groups"), F.lit(float(sizes[b][1])).alias("top")) for b in buckets])
     # a little slack for rounding; theta -inf reaches all
     reached = F.filter(options, lambda o: F.exists("queries", lambda q: q["theta"] <= q["norm"] * o["top"] * (1 + 1e-9) + 1e-6))
-    sent = blocks.select("b", "queries", F.explode(reached).alias("o"))
-    return sent.select(F.col("o.bucket").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("o.groups") - 1)).alias("g"), (F.col("b") % shares).alias("s"), "queries")
+    return blocks.select(F.expr(f"b div {QUERY_BLOCKS}").alias("s"), "queries", reached.alias("reached"))
 
 
-def _meet(dealt: DataFrame, sent: DataFrame, k: int) -> DataFrame:
+def _meet(ws: Workspace, dealt: DataFrame, sent: DataFrame, k: int, name: str) -> DataFrame:
     keys = ["bucket", "g", "s"]
+    sent = ws.save(sent, f"sent-{name}").select("s", "queries", F.explode("reached").alias("o"))
+    # the shares that reach each bucket: LENGTHS rows at most
+    shares = sent.groupBy(F.col("o.bucket").alias("bucket")).agg(F.collect_set("s").alias("shares"))
+    dealt = dealt.join(F.broadcast(shares), "bucket").select("bucket", "g", F.explode("shares").alias("s"), "vec_id", "v")
+    sent = sent.select(F.col("o.bucket").alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("o.groups") - 1)).alias("g"), "s", "queries")
 
     def apply(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
