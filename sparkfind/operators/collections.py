@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chunks, clean_markdown, doc_hash, repo_header
 from .embed import Embedder, embed, embed_pending, hashing_embedder
-from .mirror import last_wins, missing, prune, stale_readmes, upsert
+from .mirror import last_wins, missing, numbered, prune, stale_readmes, upsert
+from .snapshots import scratch
 
 README_CHARS, DEFAULT_LIMIT, MOST_RESULTS = 64 << 10, 30, 100
 META = "key string, value string"
@@ -96,12 +97,15 @@ def sync(repos: DataFrame, starred: DataFrame, fetch: Callable[[DataFrame], Data
     """The mirrored repositories and a report (total, removed, readmes_fetched, readme_errors; one row).
 
     ``starred`` is the whole listing; ``fetch`` gets the targets (id, full_name, etag, marker) and gives id, state,
-    etag, readme (see ``sources.remote.fetch_readmes``). Write both with a stored ``fetch`` result, which is read twice."""
+    etag, readme (see ``sources.remote.fetch_readmes``), a row for each whatever came of it. What it gives is written to
+    the shared folder once, so no request is sent twice; an error or a refused request leaves its row for the next time."""
     gone = missing(repos, starred, "id")
     kept = prune(upsert_repos(repos, starred), starred, "id")
     etags = sync_states(kept).select("id", F.col("readme_etag").alias("etag"))
     targets = stale_readmes(sync_states(kept), starred).select("id", "full_name", F.coalesce("pushed_at", F.lit("")).alias("marker")).join(etags, "id")
-    fetched = fetch(targets).join(targets.select("id", "marker"), "id")
+    store = scratch(repos.sparkSession, "readmes")
+    fetch(targets).select("id", "state", "etag", "readme").write.parquet(store)
+    fetched = repos.sparkSession.read.schema("id long, state string, etag string, readme string").parquet(store).join(targets.select("id", "marker"), "id")
     counts = fetched.agg(F.count(F.when(F.col("state") == "fresh", 1)).alias("readmes_fetched"), F.count(F.when(~F.col("state").isin("fresh", "missing", "not_modified"), 1)).alias("readme_errors"))
     report = starred.agg(F.count(F.lit(1)).alias("total")).crossJoin(gone.agg(F.count(F.lit(1)).alias("removed"))).crossJoin(counts)  # one row each
     return apply_readmes(kept, fetched), report
@@ -139,7 +143,7 @@ def remove_folder(folders: DataFrame, files: DataFrame, folder_id: int) -> tuple
 
 def files_by_ids(files: DataFrame, ranked: DataFrame) -> DataFrame:
     """The files of ``ranked`` (id, place, score) in its order; a missing score is 0, missing files are skipped."""
-    return files.drop("score").join(F.broadcast(ranked), "id").withColumn("score", F.coalesce("score", F.lit(0.0))).orderBy("place").drop("place")  # one result page
+    return files.drop("score").join(ranked, "id").withColumn("score", F.coalesce("score", F.lit(0.0))).orderBy("place").drop("place")
 
 
 def image_doc_hash(path: Column, mtime: Column, size: Column) -> Column:
@@ -177,9 +181,9 @@ def sync_bookmarks(bookmarks: DataFrame, found: DataFrame) -> tuple[DataFrame, D
     same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in BOOKMARK_KEYS]
     joined = now.alias("n").join(old.alias("o"), same, "left").select("o.id", *[f"n.{c}" for c in [*BOOKMARK_KEYS, "added_at"]])
     fresh = joined.filter("id is null").drop("id")
-    top = bookmarks.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    # ids of new rows: ascending, not dense, as partitions number their rows apart
-    named = fresh.withColumn("m", F.monotonically_increasing_id()).crossJoin(F.broadcast(top)).select((F.col("top") + 1 + F.col("m")).alias("id"), *BOOKMARK_KEYS, "added_at")
+    top = bookmarks.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    # written once and in the order of the keys, so ids are the same however often the result is read
+    named = numbered(fresh, BOOKMARK_KEYS, top + 1).select("id", *BOOKMARK_KEYS, "added_at")
     gone = old.alias("o").join(now.alias("n"), same, "left_anti")
     report = found.agg(F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_set("browser")).alias("browsers")).crossJoin(gone.agg(F.count(F.lit(1)).alias("removed")))  # one row each
     return joined.filter("id is not null").unionByName(named), report

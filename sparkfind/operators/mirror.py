@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .snapshots import scratch
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of both by key: new values win, but columns in ``keep`` stay as they were. ``new`` has a row per key."""
@@ -45,6 +47,24 @@ def changed_files(scanned: DataFrame, known: DataFrame) -> DataFrame:
     return scanned.join(same, "path", "left").filter(~(F.col("mtime").eqNullSafe(F.col("_m")) & F.col("size").eqNullSafe(F.col("_s")))).drop("_m", "_s")
 
 
+def numbered(rows: DataFrame, keys: list[str], first: int = 1) -> DataFrame:
+    """``rows`` with ``id``: ``first`` and on, without gaps, in the order of ``keys``.
+
+    A range sort is written once, and one count of each partition is the only thing that reaches the driver."""
+    spark, store = rows.sparkSession, scratch(rows.sparkSession, "numbered")
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()).write.parquet(store)
+    part = F.shiftright("_m", 33)
+    table = spark.read.schema(rows.withColumn("_m", F.lit(0).cast("long")).schema).parquet(store)
+    starts, total = [], first
+    for p, n in sorted(table.groupBy(part.alias("p")).count().collect()):
+        starts.append((p, total))
+        total += n
+    base = spark.createDataFrame(starts or [(0, first)], "_part long, _start long")
+    placed = table.withColumn("_part", part).join(F.broadcast(base), "_part")  # a row for each partition
+    return placed.withColumn("id", F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", "_m")
+
+
 def stale_readmes(states: DataFrame, starred: DataFrame) -> DataFrame:
     """Starred repositories with a state whose marker isn't their last push."""
     marks = states.select("id", F.col("readme_pushed_at").alias("_mark"))
@@ -65,7 +85,7 @@ def folder_counts(folders: DataFrame, files: DataFrame) -> DataFrame:
 def in_order(rows: DataFrame, ids: list[int], key: str = "id") -> DataFrame:
     """The rows of the ids in the ids' order; missing ones are skipped."""
     wanted = rows.sparkSession.createDataFrame([(i, n) for n, i in enumerate(ids)], f"{key} long, pos int")
-    return rows.join(F.broadcast(wanted), key).orderBy("pos")  # ids: one result page
+    return rows.join(wanted, key).orderBy("pos")  # Spark sends a page of ids around; a longer list is joined by exchange
 
 
 def path_allowed(path: str, roots: list[str]) -> "F.Column":

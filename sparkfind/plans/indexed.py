@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import search
 from ..operators.fts import bm25_sql
+from ..operators.buckets import BucketTable
 from ..operators.index import Index
 from ..operators.snapshots import scratch
+from ..operators.vector_store import VectorStore
+from ..sources.bookmarks import trees
 from . import tables as T
 
 COLLECTIONS = {
@@ -48,6 +51,20 @@ def after_batches(spark, sf: str) -> Index:
     return made
 
 
+def store_after_batches(spark, sf: str) -> VectorStore:
+    """Chunks in three batches, of which the later replace some ids' vectors by their negatives and delete some."""
+    made = VectorStore(spark, scratch(spark, "vectors"))
+    rows = T.chunks(spark, sf)
+    made.put(rows)
+    made.put(rows.filter("id % 9 = 2").withColumn("vec", F.transform("vec", lambda x: -x)))
+    made.put(rows.filter("id % 9 = 4").withColumn("vec", F.slice("vec", 1, 32)), rows.filter("id % 11 = 3").select("id").distinct())
+    return made
+
+
+#: The chunks that ``store_after_batches`` leaves.
+STORED_SQL = f"""(SELECT id, CASE WHEN id % 9 = 2 THEN list_transform(vec, lambda x: -x) ELSE vec END AS vec FROM {T.CHUNKS_SQL} WHERE id % 9 <> 4 AND id % 11 <> 3)"""
+
+
 def registered(query):
     """Adds this module's queries with ``query``, the registry's decorator."""
 
@@ -82,3 +99,46 @@ SELECT left(term, 3) AS prefix, count(DISTINCT id) AS n FROM (SELECT id, unnest(
         made = after_batches(spark, sf)
         found = made.counts().filter(F.length("prefix") == 3)
         return found.select("prefix", "n")
+
+    Q = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 7)"
+    DOT = "list_inner_product(CAST(vec AS DOUBLE[]), CAST(q AS DOUBLE[]))"
+
+    @query(f"SELECT id, round(sim, 6) AS sim FROM (SELECT id, {DOT} AS sim FROM {T.MARKS_SQL} v, {Q} ORDER BY sim DESC, id LIMIT 50)")
+    def store_topk(spark, sf):
+        made = VectorStore(spark, scratch(spark, "vectors"))
+        made.put(T.marks(spark, sf))
+        return made.top(T.vector(spark, sf)).withColumn("sim", F.round("sim", 6))
+
+    @query(f"SELECT id, round(sim, 6) AS sim FROM (SELECT id, max({DOT}) AS sim FROM {STORED_SQL} v, {Q} GROUP BY id ORDER BY sim DESC, id LIMIT 50)")
+    def store_topk_after_batches(spark, sf):
+        made = store_after_batches(spark, sf)
+        made.merge()
+        return made.top(T.vector(spark, sf), grouped=True).withColumn("sim", F.round("sim", 6))
+
+    @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'second' WHEN c_custkey % 3 = 0 THEN 'first' ELSE c_name END AS name,
+CASE WHEN c_custkey % 3 = 0 OR c_custkey % 4 = 0 THEN NULL ELSE c_phone END AS phone, c_acctbal AS kept FROM customer WHERE c_custkey % 5 <> 1 OR c_custkey % 4 = 0""")
+    def bucket_upserts(spark, sf):
+        rows = T.read(spark, sf, "customer").selectExpr("c_custkey id", "c_name name", "c_phone phone", "c_acctbal kept")
+        table = BucketTable(spark, scratch(spark, "buckets"), ["id"], keep=("kept",), buckets=16)
+        table.apply(rows)
+        changed = lambda by, name: rows.filter(f"id % {by} = 0").selectExpr("id", f"'{name}' name", "cast(null as string) phone", "0.0d kept")
+        table.apply(changed(3, "first"))
+        table.apply(changed(4, "second"), rows.filter("id % 5 = 1").select("id"))
+        return table.rows()
+
+    @query("""SELECT 'b' || n_nationkey AS browser, 'http://' || c_custkey AS url, CASE WHEN c_custkey % 6 = 0 THEN 'http://' || c_custkey ELSE c_name END AS title,
+'Bar/' || n_name || '/' || c_mktsegment AS folder, CASE WHEN c_custkey % 5 <> 0 THEN 1655526400 + c_custkey END AS added_at FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 <> 0""")
+    def bookmark_trees(spark, sf):
+        """A browser for each nation: its customers as addresses, in folders of their market segments."""
+        leaf = F.struct(
+            F.lit("url").alias("type"), F.when(F.col("c_custkey") % 6 != 0, F.col("c_name")).alias("name"),
+            F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.concat(F.lit("http://"), F.col("c_custkey").cast("string"))).alias("url"),
+            F.when(F.col("c_custkey") % 5 != 0, (F.lit(13300000000000000) + F.col("c_custkey") * 1_000_000).cast("string")).alias("date_added"),
+        )
+        folder = lambda name, children: F.struct(F.lit("folder").alias("type"), name.alias("name"), F.collect_list(children).alias("children"))
+        people = T.read(spark, sf, "customer").join(T.read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        segments = people.groupBy("n_nationkey", "n_name", "c_mktsegment").agg(folder(F.first("c_mktsegment"), leaf).alias("f"))
+        nations = segments.groupBy("n_nationkey").agg(folder(F.first("n_name"), F.col("f")).alias("f"))
+        bar = F.struct(F.lit("folder").alias("type"), F.lit("Bar").alias("name"), F.array("f").alias("children"))
+        text = F.to_json(F.struct(F.struct(bar.alias("bookmark_bar")).alias("roots")))
+        return trees(nations.select(F.concat(F.lit("b"), F.col("n_nationkey").cast("string")).alias("browser"), text.alias("text"))).select("browser", "url", "title", "folder", "added_at")

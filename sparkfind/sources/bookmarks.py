@@ -9,9 +9,10 @@ import shutil
 import sqlite3
 import tempfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 SCHEMA = "browser string, url string, title string, folder string, added_at long"
 EPOCH = 11644473600
@@ -40,12 +41,44 @@ def parse_chromium(browser: str, text: str) -> list[tuple]:
     return out
 
 
+@udtf(returnType="n int, url string, title string, folder string, added_at long")
+class Tree:
+    """``bookmark_tree(text)``: the addresses of a bookmarks file in its order, whatever the trees' depth; a broken file has none."""
+
+    def eval(self, text: str):
+        try:
+            found = parse_chromium("", text or "")
+        except (ValueError, AttributeError, RecursionError):  # no JSON, or no object
+            return
+        for n, (_, url, title, folder, added) in enumerate(found):
+            yield n, url, title, folder, added
+
+
+def trees(files: DataFrame, column: str = "text") -> DataFrame:
+    """``files`` without the column of texts, and n, url, title, folder, added_at of every address in their trees. Executors parse them."""
+    spark = files.sparkSession
+    spark.udtf.register("bookmark_tree", Tree)
+    others = [f"`{c}`" for c in files.columns if c != column]
+    return spark.sql(f"SELECT {', '.join([*(f'f.{c}' for c in others), 't.*'])} FROM {{files}} f, LATERAL bookmark_tree(f.`{column}`) t", files=files)
+
+
 def chromium(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
-    rows = []
-    for browser, path in files:  # a file a profile
-        with open(path, encoding="utf-8") as f:
-            rows += parse_chromium(browser, f.read())
-    return spark.createDataFrame(rows, SCHEMA)
+    """The bookmarks of stores (browser, path), which executors read."""
+    paths = spark.createDataFrame(files, "browser string, path string")
+
+    @F.pandas_udf("string")
+    def read(paths: pd.Series) -> pd.Series:
+        out = []
+        for path in paths:
+            try:
+                with open(path, encoding="utf-8") as f:
+                    out.append(f.read())
+            except (OSError, UnicodeDecodeError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    rows = paths.repartition(min(len(files) or 1, spark.sparkContext.defaultParallelism)).select("browser", read("path").alias("text"))
+    return trees(rows).select("browser", "url", "title", "folder", "added_at")
 
 
 def firefox(bookmarks: DataFrame, places: DataFrame, depth: int = 32) -> DataFrame:

@@ -1,8 +1,7 @@
-"""Files as a table: a walk on the driver lists paths (ignore rules have no Spark equivalent), executors read contents."""
+"""Files as a table: executors walk the folders (see ``walk``) and read contents."""
 
 from __future__ import annotations
 
-import fnmatch
 import io
 import os
 import re
@@ -11,12 +10,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.mirror import changed_files, missing, upsert
 from ..operators.search import IMAGE_EXTENSIONS
+from .walk import scan
 
 #: Kinds of files by extension or name (fixed values).
 OFFICE_EXTENSIONS = ("docx", "xlsx", "pptx")
@@ -32,6 +32,8 @@ TEXT_EXTENSIONS = (
 )
 TEXT_NAMES = ("makefile", "dockerfile", "readme", "license", "justfile", "rakefile")
 MAX_CHARS, DOC_BYTES = 2 << 20, 64 << 20
+#: Bytes that the parts of an office file may unpack to for each byte of its limit: a small file can unpack to very much.
+UNPACKED = 16
 
 
 def kind(ext: Column, name: Column) -> Column:
@@ -46,18 +48,25 @@ def kind(ext: Column, name: Column) -> Column:
     )
 
 
+def cut(text: str, limit: int) -> str:
+    """At most ``MAX_CHARS`` characters; the whole text where there is no limit."""
+    return text[:MAX_CHARS] if limit else text
+
+
 def decode(data: bytes, limit: int) -> str | None:
-    """Text of at most ``limit`` bytes; None if it is larger or has a NUL in its first 8 KB."""
+    """Text of at most ``limit`` bytes (0: of any size); None if it is larger or has a NUL in its first 8 KB."""
     if limit and len(data) > limit or b"\0" in data[:8192]:
         return None
-    return data.decode("utf-8", "replace")[:MAX_CHARS]
+    return cut(data.decode("utf-8", "replace"), limit)
 
 
-def office_text(data: bytes) -> str | None:
-    """Text of an office file's XML parts, in the order of their names."""
+def office_text(data: bytes, limit: int = DOC_BYTES) -> str | None:
+    """Text of an office file's XML parts, in the order of their names; None where they unpack to more than ``UNPACKED`` times the limit (0: no limit)."""
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             names = sorted(n for n in z.namelist() if re.fullmatch(r"word/document\.xml|xl/sharedStrings\.xml|ppt/slides/slide\d+\.xml", n))
+            if limit and sum(z.getinfo(n).file_size for n in names) > UNPACKED * limit:
+                return None  # zipfile reads no more of a part than its header says
             xml = "\n".join(z.read(n).decode("utf-8", "replace") for n in names)
     except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, KeyError, ValueError, OSError):  # damaged or encrypted: no text
         return None
@@ -65,10 +74,11 @@ def office_text(data: bytes) -> str | None:
     text = re.sub(r"<[^>]*>", "", xml)
     for name, sign in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         text = text.replace(name, sign)
-    return "\n".join(" ".join(x.split()) for x in text.split("\n") if x.split())[:MAX_CHARS] or None
+    text = "\n".join(" ".join(x.split()) for x in text.split("\n") if x.split())
+    return cut(text, limit) or None
 
 
-def pdf_text(data: bytes) -> str | None:
+def pdf_text(data: bytes, limit: int = DOC_BYTES) -> str | None:
     """Text of a PDF where a reader is installed; else None."""
     try:
         import pypdf
@@ -78,42 +88,7 @@ def pdf_text(data: bytes) -> str | None:
         text = "\n".join(p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(data)).pages)
     except Exception:  # noqa: BLE001  a broken file has no text
         return None
-    return text[:MAX_CHARS] if text.strip() else None
-
-
-def _ignored(rules: list[tuple[str, str]], path: str, is_dir: bool) -> bool:
-    out = False
-    for base, rule in rules:
-        negated, rule = rule.startswith("!"), rule.lstrip("!")
-        if rule.endswith("/") and not is_dir:
-            continue
-        rule, rel = rule.rstrip("/"), os.path.relpath(path, base)
-        if rel.startswith(".."):
-            continue
-        hit = fnmatch.fnmatch(rel, rule.lstrip("/")) if "/" in rule else fnmatch.fnmatch(os.path.basename(path), rule)
-        out = not negated if hit else out
-    return out
-
-
-def scan(spark: SparkSession, roots: list[tuple[int, str]]) -> DataFrame:
-    """folder_id, path, name, ext, size, mtime of files below the roots; hidden and ignored ones and links are left out."""
-    rows = []
-    for folder_id, root in roots:
-        rules: list[tuple[str, str]] = []
-        for top, dirs, names in os.walk(root, followlinks=False):
-            for ignore in (".gitignore", ".ignore"):
-                if ignore in names:
-                    with open(os.path.join(top, ignore), errors="replace") as f:
-                        rules += [(top, x.strip()) for x in f if x.strip() and not x.startswith("#")]
-            dirs[:] = sorted(d for d in dirs if not d.startswith(".") and not _ignored(rules, os.path.join(top, d), True))
-            for name in sorted(names):
-                path = os.path.join(top, name)
-                if name.startswith(".") or os.path.islink(path) or _ignored(rules, path, False):
-                    continue
-                st = os.stat(path)
-                ext = os.path.splitext(name)[1][1:].lower() or None
-                rows.append((folder_id, path, name, ext, st.st_size, int(st.st_mtime)))
-    return spark.createDataFrame(rows, "folder_id long, path string, name string, ext string, size long, mtime long")
+    return cut(text, limit) if text.strip() else None
 
 
 def read_text(path: str, kind: str, limit: int) -> str | None:
@@ -126,7 +101,7 @@ def read_text(path: str, kind: str, limit: int) -> str | None:
             data = f.read()
     except OSError:
         return None
-    return decode(data, limit) if kind == "text" else office_text(data) if kind == "office" else pdf_text(data)
+    return decode(data, limit) if kind == "text" else office_text(data, most) if kind == "office" else pdf_text(data, most)
 
 
 def with_content(files: DataFrame, max_file_mb: int = 4) -> DataFrame:
@@ -155,8 +130,7 @@ def index_folders(folders: DataFrame, known: DataFrame, max_file_mb: int = 4) ->
     ``known`` has what ``scan`` gives, content and thumb. Files of the same time and size stay as they are; new and
     changed ones are read, and keep their thumbnail; files that are gone go. Write the result (``mirror.swap``)
     before the report is read again."""
-    roots = [(r["id"], r["path"]) for r in folders.select("id", "path").collect()]  # the user's registered folders: a handful
-    found = scan(folders.sparkSession, roots)
+    found = scan(folders)
     fresh = changed_files(found, known)
     gone = missing(known, found, "path")
     kept = known.join(gone.select("path"), "path", "left_anti").select(*known.columns)

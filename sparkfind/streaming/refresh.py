@@ -1,24 +1,77 @@
-"""Periodic refresh: a file stream whose batches are upserted into a snapshot table."""
+"""Periodic refresh: a file stream whose rows are upserted into a snapshot table, the latest of each key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from ..operators.mirror import current, swap
+
+#: What a row without an order stands at, and how times are written so that they are read as they were.
+LEAST = -(1 << 63)
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def place(columns: list[str], order: str) -> list[Column]:
+    """order (a long; nulls come first), tie (of rows of one order the one of the greatest digest of its values is the latest)
+    and the row as JSON: values of any type pass the state's function as they are, longs beside nulls too."""
+    row = F.to_json(F.struct(*columns), TIMES)
+    return [F.coalesce(F.col(order).cast("long"), F.lit(LEAST)).alias("_order"), F.sha2(row, 256).alias("_tie"), row.alias("_row")]
 
-from ..operators.mirror import current, swap, upsert
 
+def latest_of(hold: int | None):
+    """Per key: hands on the latest row of the batch if it is later than the latest one seen; the state holds the place of that one."""
 
-def refresh(spark: SparkSession, source: str, schema: str, table: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = state.get if state.exists else None
+        found = None
+        for rows in parts:
+            if len(rows):
+                at = max(range(len(rows)), key=lambda i: (rows["_order"].iloc[i], rows["_tie"].iloc[i]))
+                this = (int(rows["_order"].iloc[at]), rows["_tie"].iloc[at])
+                if best is None or this > tuple(best):
+                    best, found = this, rows.iloc[[at]]
+        state.update(tuple(best))
+        if hold is not None:
+            state.setTimeoutDuration(hold)
+        if found is not None:
+            yield found[["_order", "_tie", "_row"]]
+
+    return run
+
+
+def refresh(spark: SparkSession, source: str, schema: str, table: str, keys: list[str], order: str, checkpoint: str, hold_ms: int | None = None) -> StreamingQuery:
     """Reads what is new below ``source`` (parquet) and brings ``table`` up to date; ends when all is read.
 
-    A batch that runs again after a failure gives the same table: the last row of a key wins."""
+    Of a key's rows the one of the greatest ``order`` (numbers, or times by the second) counts, whenever it comes: each key's place is kept as the
+    stream's state, so a late row goes no further. ``hold_ms``: how long the state of a key without news is kept. The table
+    decides again, so a late row loses after that too, and a batch that runs again after a failure gives the same table."""
+
+    columns = StructType.fromDDL(schema).names
 
     def apply(batch: DataFrame, _: int) -> None:
-        values = [c for c in batch.columns if c not in keys]
-        new = batch.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in values])
+        if batch.isEmpty():
+            return
+        new = batch.select(F.from_json("_row", schema, TIMES).alias("row"), "_order", "_tie").select("row.*", "_order", "_tie")
         old = current(spark, table)
-        swap(new if old is None else upsert(old, new, keys).select(*new.columns), table)
+        if old is not None:
+            new = old.select(*columns, *place(columns, order)[:2]).unionByName(new)
+        # one row as a whole, never columns of several
+        latest = new.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct("_order", "_tie")).alias("row"))
+        swap(latest.select("row.*"), table)
 
     stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    placed = stream.select(*keys, *place(columns, order))
+    made = StructType([placed.schema[c] for c in ("_order", "_tie", "_row")])
+    timeout = GroupStateTimeout.NoTimeout if hold_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    latest = placed.groupBy(*keys).applyInPandasWithState(latest_of(hold_ms), made, "place long, tie string", "append", timeout)
+    return latest.writeStream.outputMode("append").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
