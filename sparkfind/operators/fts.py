@@ -105,8 +105,8 @@ def postings(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def snippet_text(text: str, found: list[list[str]], width: int = 12, cut: str = "…") -> str:
     """The best window of ``width`` tokens with its hits between \\x01 and \\x02.
 
-    A window scores 1000 for each phrase it shows for the first time and 1 for a repeat; one that begins at a
-    sentence gains 100, or 120 at the text's start. The first of the best windows wins."""
+    A window scores 1000 for each phrase it shows for the first time and 1 for a repeat; one that begins at the
+    start of the sentence of a hit within gains 100, or 120 at the text's start. The first of the best windows wins."""
     import re
 
     spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
@@ -121,12 +121,12 @@ def snippet_text(text: str, found: list[list[str]], width: int = 12, cut: str =
     def window(start: int) -> tuple[int, int]:
         seen, score, first, last = set(), 0, None, -1
         for a, b, j in hits:
-            if start <= a and b < start + width:
+            if start <= a < start + width:
                 score += 1 if j in seen else 1000
                 seen.add(j)
                 first = a if first is None else first
-                last = max(last, b)
-        at = first - (width - (last - first)) // 2 if first is not None else start
+                last = b + 1
+        at = first - int((width - (last - first)) / 2) if first is not None else start
         return score, max(0, min(at, len(toks) - width))
 
     sentences = [i for i, (a, _) in enumerate(spans) if i == 0 or re.search(r"[.:]\s+$", text[spans[i - 1][1] : a])]
@@ -136,7 +136,7 @@ def snippet_text(text: str, found: list[list[str]], width: int = 12, cut: str =
         if score > best:
             best, start = score, at
         before = [s for s in sentences if s <= a]
-        if before and a - before[-1] < width:
+        if len(toks) > width and before and before[-1] < a:  # a hit that begins a sentence has no other window
             score, _ = window(before[-1])
             score += 120 if before[-1] == 0 else 100
             if score > best:

@@ -39,7 +39,7 @@ def create(spark: SparkSession, path: str, text: str) -> None:
             of = spark.sparkContext._jvm.java.nio.file.Path.of
             made = False
             if not fs.exists(where):
-                spark.sparkContext._jvm.java.nio.file.Files.createLink(of(where.toUri()), of(fs.makeQualified(part).toUri()))
+                spark.sparkContext._jvm.java.nio.file.Files.createLink(of(fs.makeQualified(where).toUri()), of(fs.makeQualified(part).toUri()))
                 made = True
         else:
             made = not fs.exists(where) and fs.rename(part, where)

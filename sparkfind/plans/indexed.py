@@ -116,12 +116,12 @@ SELECT left(term, 3) AS prefix, count(DISTINCT id) AS n FROM (SELECT id, unnest(
         return made.top(T.vector(spark, sf), grouped=True).withColumn("sim", F.round("sim", 6))
 
     @query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'second' WHEN c_custkey % 3 = 0 THEN 'first' ELSE c_name END AS name,
-CASE WHEN c_custkey % 3 = 0 OR c_custkey % 4 = 0 THEN NULL ELSE c_phone END AS phone, c_acctbal AS kept FROM customer WHERE c_custkey % 5 <> 1 OR c_custkey % 4 = 0""")
+CASE WHEN c_custkey % 3 = 0 OR c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS segment, c_acctbal AS kept FROM customer WHERE c_custkey % 5 <> 1 OR c_custkey % 4 = 0""")
     def bucket_upserts(spark, sf):
-        rows = T.read(spark, sf, "customer").selectExpr("c_custkey id", "c_name name", "c_phone phone", "c_acctbal kept")
+        rows = T.read(spark, sf, "customer").selectExpr("c_custkey id", "c_name name", "c_mktsegment segment", "c_acctbal kept")
         table = BucketTable(spark, scratch(spark, "buckets"), ["id"], keep=("kept",), buckets=16)
         table.apply(rows)
-        changed = lambda by, name: rows.filter(f"id % {by} = 0").selectExpr("id", f"'{name}' name", "cast(null as string) phone", "0.0d kept")
+        changed = lambda by, name: rows.filter(f"id % {by} = 0").selectExpr("id", f"'{name}' name", "cast(null as string) segment", "0.0d kept")
         table.apply(changed(3, "first"))
         table.apply(changed(4, "second"), rows.filter("id % 5 = 1").select("id"))
         return table.rows()

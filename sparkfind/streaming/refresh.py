@@ -25,36 +25,25 @@ def place(columns: list[str], order: str) -> list[Column]:
     return [F.coalesce(F.col(order).cast("long"), F.lit(LEAST)).alias("_order"), F.sha2(row, 256).alias("_tie"), row.alias("_row")]
 
 
-def latest_of(hold: int | None):
-    """Per key: hands on the latest row of the batch if it is later than the latest one seen; the state holds the place of that one."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = state.get if state.exists else None
-        found = None
-        for rows in parts:
-            if len(rows):
-                at = max(range(len(rows)), key=lambda i: (rows["_order"].iloc[i], rows["_tie"].iloc[i]))
-                this = (int(rows["_order"].iloc[at]), rows["_tie"].iloc[at])
-                if best is None or this > tuple(best):
-                    best, found = this, rows.iloc[[at]]
-        state.update(tuple(best))
-        if hold is not None:
-            state.setTimeoutDuration(hold)
-        if found is not None:
-            yield found[["_order", "_tie", "_row"]]
-
-    return run
-
-
-def refresh(spark: SparkSession, source: str, schema: str, table: str, keys: list[str], order: str, checkpoint: str, hold_ms: int | None = None) -> StreamingQuery:
+def latest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Hands on a key's latest row of the batch if it is later than the latest one seen; the state holds the place of that one."""
+    best, found = tuple(state.get) if state.exists else None, None
+    for rows in parts:
+        for at in range(len(rows)):
+            this = (int(rows["_order"].iloc[at]), rows["_tie"].iloc[at])
+            if best is None or this > best:
+                best, found = this, rows.iloc[[at]]
+    if found is not None:
+        state.update(best)
+        yield found[["_order", "_tie", "_row"]]
+
+
+def refresh(spark: SparkSession, source: str, schema: str, table: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
     """Reads what is new below ``source`` (parquet) and brings ``table`` up to date; ends when all is read.
 
     Of a key's rows the one of the greatest ``order`` (numbers, or times by the second) counts, whenever it comes: each key's place is kept as the
-    stream's state, so a late row goes no further. ``hold_ms``: how long the state of a key without news is kept. The table
-    decides again, so a late row loses after that too, and a batch that runs again after a failure gives the same table."""
+    stream's state (a number and a digest), so a late row goes no further. The table decides again, so a batch that runs again after a
+    failure gives the same table, and a new checkpoint, which drops the state, lets no late row in."""
 
     columns = StructType.fromDDL(schema).names
 
@@ -72,6 +61,5 @@ def refresh(spark: SparkSession, source: str, schema: str, table: str, keys: lis
     stream = spark.readStream.schema(schema).parquet(source)
     placed = stream.select(*keys, *place(columns, order))
     made = StructType([placed.schema[c] for c in ("_order", "_tie", "_row")])
-    timeout = GroupStateTimeout.NoTimeout if hold_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    latest = placed.groupBy(*keys).applyInPandasWithState(latest_of(hold_ms), made, "place long, tie string", "append", timeout)
-    return latest.writeStream.outputMode("append").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    changed = placed.groupBy(*keys).applyInPandasWithState(latest, made, "place long, tie string", "append", GroupStateTimeout.NoTimeout)
+    return changed.writeStream.outputMode("append").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

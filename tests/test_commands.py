@@ -219,10 +219,10 @@ def test_readmes_that_fail(spark):
 def test_late_rows_lose(spark, tmp_path):
     source, table, schema = str(tmp_path / "in"), str(tmp_path / "table"), "id long, v string, n long, w long"
 
-    def run(*rows, checkpoint="state", hold=None):
+    def run(*rows, checkpoint="state"):
         if rows:
             spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        refresh(spark, source, schema, table, ["id"], "n", str(tmp_path / checkpoint), hold).awaitTermination()
+        refresh(spark, source, schema, table, ["id"], "n", str(tmp_path / checkpoint)).awaitTermination()
         return {r["id"]: (r["v"], r["w"]) for r in mirror.current(spark, table).collect()}
 
     big = (1 << 62) + 1
@@ -235,7 +235,7 @@ def test_late_rows_lose(spark, tmp_path):
     assert tie in {("a", 1), ("b", None)}
     assert run((4, "b", 4, None))[4] == ("b", None) and run((3, "a", 4, 1))[3] == tie
     # another checkpoint knows no state: all rows come again, and the table stays
-    assert run(checkpoint="lost", hold=1) == run() and run((1, "late again", 2, None), checkpoint="lost", hold=1)[1] == ("new", big)
+    assert run(checkpoint="lost") == run() and run((1, "late again", 2, None), checkpoint="lost")[1] == ("new", big)
 
 
 # ------------------------------------------------------------------ stores
