@@ -5,7 +5,8 @@ bytes mapped to printable characters), scored by its negative rank, identity nor
 dummy prefix and no white space handling. sentencepiece merges the adjacent pair whose joined
 piece scores highest, leftmost first, which is the pair of lowest rank. Pre-tokens come from the
 public pattern; a pre-token that is itself in the vocabulary is taken whole. Decoding maps
-ids to bytes. Null text is empty: no ids, no bytes.
+ids to bytes. Null text is empty: no ids, no bytes. Every row has its own result, whatever its id (null and repeated ids too);
+an empty table gives no rows, and further columns are not read.
 """
 
 from __future__ import annotations

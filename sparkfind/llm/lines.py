@@ -15,7 +15,7 @@ ones), or is itself a later copy and has ``long_line`` characters: short lines a
 Deletion is judged on the input, so the first copy of every run stays whole.
 
 Counts and firsts are pre-aggregated; joins back to a rank's occurrences are plain equi-joins that
-Spark splits where a rank is hot. Null text: no lines, kept as empty. Ids: ``common.keyed``.
+Spark splits where a rank is hot. Lines are equal if 128 bits of their SHA-256 are. Null text: no lines, kept as empty. Ids: ``common.keyed``.
 """
 
 from __future__ import annotations

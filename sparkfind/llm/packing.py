@@ -7,7 +7,8 @@ has room; a remainder that fits nowhere is cut over the cheapest sequences with
 ``ceil(tokens / length)`` sequences, so at most one is not full; its content is halved into
 powers of two, which need no padding (those below ``least`` tokens stay together).
 
-No shuffle: memory is a block's ids, whatever the input. Null text is an empty document (its end
+Of remainders of one length the one read first goes first, and of sequences of one cost the one of the least number takes it, so a
+block's packing follows from its rows' order. No shuffle: memory is a block's ids, whatever the input. Null text is an empty document (its end
 id only); repeated rows and null ids are packed as documents of their own.
 """
 

@@ -51,33 +51,81 @@ def valid(arguments: "F.Column", name: "F.Column", schemas: dict) -> "F.Column":
     return out
 
 
+#: Levels that are found one by one before chains are contracted.
+PLAIN_ROUNDS = 8
+IDS = ["conv_id", "call_id"]
+
+
 def levels(ws: Workspace, calls: DataFrame, needs: DataFrame) -> DataFrame:
-    """conv_id, call_id, level, ready of every call that can be ordered: a level a round, by joins, while any is found.
+    """conv_id, call_id, level, ready of every call that can be ordered.
 
-    A round looks only at calls that need one of the level before, and writes only what it finds."""
-    ids = ["conv_id", "call_id"]
-    nodes = calls.filter("conv_id is not null and call_id is not null").groupBy(*ids).agg(F.min("turn").alias("turn"))
-    edges = needs.filter("conv_id is not null and call_id is not null and needs is not null").select(*ids, "needs").distinct()
-    first = nodes.join(edges, ids, "left_anti").select(*ids, F.lit(0).alias("level"), F.col("turn").alias("ready"))
+    The first ``PLAIN_ROUNDS`` levels come one a round, by joins; a round looks only at calls that need one of the level
+    before. What is then left is contracted (see ``deeper``)."""
+    nodes = calls.filter("conv_id is not null and call_id is not null").groupBy(*IDS).agg(F.min("turn").alias("turn"))
+    edges = needs.filter("conv_id is not null and call_id is not null and needs is not null").select(*IDS, "needs").distinct()
+    first = nodes.join(edges, IDS, "left_anti").select(*IDS, F.lit(0).alias("level"), F.col("turn").alias("ready"))
     if not edges.limit(1).count():
         return first
     edges = ws.save(edges, "edges")
-    left = ws.save(nodes.join(edges, ids, "left_semi"), "left")
-    found = [ws.save(first, "levels-0")]
+    left = ws.save(nodes.join(edges, IDS, "left_semi"), "left")
+    done, deep = _rounds(ws, first, edges.select(*IDS, "needs", F.lit(-1).alias("a"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("r")), left.select(*IDS, F.lit(0).alias("a"), F.col("turn").alias("r")), "levels", PLAIN_ROUNDS)
+    return done.unionByName(deeper(ws, done, edges, left)) if deep else done
+
+
+def _rounds(ws: Workspace, first: DataFrame, edges: DataFrame, left: DataFrame, name: str, most: int | None = None) -> tuple[DataFrame, bool]:
+    """The levels of ``left`` (with a and r, what they are at least) that follow from ``first``, and whether there may be more than ``most`` rounds found.
+
+    An edge hands on its need's level plus n, at least a, and its ready turn, at least r."""
+    found = [ws.save(first, f"{name}-0")]
     for i in itertools.count(1):
-        done = ws.spark.read.schema(found[0].schema).parquet(*[ws.path(f"levels-{j}") for j in range(i)])
-        near = edges.join(found[-1].select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").select(*ids).distinct()
-        from_ = done.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("l"), F.col("ready").alias("r"))
-        state = edges.join(near, ids, "left_semi").join(from_, ["conv_id", "needs"], "left").groupBy(*ids).agg(F.max("l").alias("l"), F.max("r").alias("r"), F.max(F.col("l").isNull()).alias("open"))
-        due = state.filter("not open").join(left, ids).select(*ids, (F.col("l") + 1).alias("level"), F.greatest("turn", "r").alias("ready"))
-        due = ws.save(due, f"levels-{i}")
-        if not due.limit(1).count():
-            return done
-        found.append(due)
+        done = ws.spark.read.schema(found[0].schema).parquet(*[ws.path(f"{name}-{j}") for j in range(i)])
+        if i - 1 == most:
+            return done, True
+        near = edges.join(found[-1].select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").select(*IDS).distinct()
+        from_ = done.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("l0"), F.col("ready").alias("r0"))
+        told = edges.join(near, IDS, "left_semi").join(from_, ["conv_id", "needs"], "left").withColumn("l", F.when(F.col("l0").isNotNull(), F.greatest("a", F.col("l0") + F.col("n"))))
+        state = told.groupBy(*IDS).agg(F.max("l").alias("l"), F.max(F.greatest("r", "r0")).alias("r1"), F.max(F.col("l").isNull()).alias("open"))
+        due = state.filter("not open").join(left, IDS).select(*IDS, F.greatest("a", F.col("l") + 1).alias("level"), F.greatest("r", "r1").alias("ready"))
+        found.append(ws.save(due, f"{name}-{i}"))
+        if not found[-1].limit(1).count():
+            return done, False
+
+
+def deeper(ws: Workspace, done: DataFrame, edges: DataFrame, left: DataFrame) -> DataFrame:
+    """Levels beyond ``done``. A call with one open need hangs on it; such chains are doubled (each call points to the end of what it points to), so a chain
+    of m calls takes about log2 m joins. What is left, calls with several open needs, is ordered round by round over the chains' ends. Calls in circles, or
+    that need one that isn't there, are in no row."""
+    open_ = ws.save(left.join(done, IDS, "left_anti"), "open")
+    by_need = done.select("conv_id", F.col("call_id").alias("needs"), "level", "ready")
+    is_open = open_.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("waits"))
+    told = edges.join(open_.select(*IDS), IDS, "left_semi").join(by_need, ["conv_id", "needs"], "left").join(is_open, ["conv_id", "needs"], "left")
+    told = ws.save(told, "told")
+    state = told.groupBy(*IDS).agg(F.max("level").alias("l"), F.max("ready").alias("r"), F.count("waits").alias("open"), F.max(F.when(F.col("waits"), F.col("needs"))).alias("to"), F.max(F.col("level").isNull() & F.col("waits").isNull()).alias("missing"))
+    live = state.filter("not missing").join(open_, IDS).select(*IDS, F.coalesce(F.col("l") + 1, F.lit(0)).alias("a"), F.greatest("turn", "r").alias("r"), "open", "to")
+    live = ws.save(live, "live")
+    hop = ws.save(live.filter("open = 1").select(*IDS, "to", "a", F.lit(1).alias("n"), "r"), "hop-0")
+    for i in range(1, hop.count().bit_length() + 1):
+        y = hop.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
+        told_on = hop.join(y, ["conv_id", "to"], "left")
+        moved = told_on.select(*IDS, F.coalesce("to2", "to").alias("to"), F.greatest("a", F.col("a2") + F.col("n")).alias("a"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.greatest("r", "r2").alias("r"))
+        hop = ws.save(moved, f"hop-{i}")
+        ws.drop(f"hop-{i - 1}")
+        if not hop.join(hop.select("conv_id", F.col("call_id").alias("to")), ["conv_id", "to"], "left_semi").limit(1).count():
+            break
+    chains = ws.save(hop.join(hop.select("conv_id", F.col("call_id").alias("to")), ["conv_id", "to"], "left_anti"), "chains")
+    ends = chains.select("conv_id", F.col("call_id").alias("needs"), "to", F.col("a").alias("ca"), F.col("n").alias("cn"), F.col("r").alias("cr"))
+    several = told.filter("waits").join(live.filter("open > 1").select(*IDS), IDS, "left_semi").select(*IDS, "needs").join(ends, ["conv_id", "needs"], "left")
+    several = several.select(*IDS, F.coalesce("to", "needs").alias("needs"), F.coalesce("ca", F.lit(-1)).alias("a"), F.coalesce("cn", F.lit(0)).alias("n"), F.col("cr").alias("r"))
+    # a call can be needed through several chains that end in one: each hands on its own
+    first = live.filter("open = 0").select(*IDS, F.col("a").alias("level"), F.col("r").alias("ready"))
+    heads, _ = _rounds(ws, first, ws.save(several, "several"), live.filter("open > 1").select(*IDS, "a", "r"), "heads")
+    at = heads.select("conv_id", F.col("call_id").alias("to"), "level", "ready")
+    hung = chains.join(at, ["conv_id", "to"]).select(*IDS, F.greatest("a", F.col("level") + F.col("n")).alias("level"), F.greatest("r", "ready").alias("ready"))
+    return heads.unionByName(hung)
 
 
 def link(ws: Workspace, calls: DataFrame, results: DataFrame, needs: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    ids = ["conv_id", "call_id"]
+    ids = IDS
     calls = calls.select(*ids, "turn", "name", "arguments")
     got = results.groupBy(*ids).agg(F.min(F.struct("turn", "content")).alias("r")).select(*ids, F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.lit(True).alias("has"))
     linked = calls.join(got, ids, "left").join(levels(ws, calls, needs), ids, "left")
@@ -114,7 +162,7 @@ def _message(arguments, call_id, name, content) -> "F.Column":
 def of_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and needs of plain conversations (conv_id, turn, role, text): a user's turn calls
     reply, a system's turn configure, an assistant's or tool's turn is the result of the last call
-    before it; a call needs the conversation's configure calls before it."""
+    before it; a call needs the conversation's first configure call, if that is before it."""
     turns = turns.selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "cast(text as string) text").filter("conv_id is not null and turn is not null")
     ident = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     is_call = F.col("role").isin("user", "system")

@@ -80,6 +80,13 @@ def test_topk_huge_components(spark):
     assert got == [(2, topk.MOST), (3, -topk.MOST)]
 
 
+def test_topk_scores_of_a_whole_long(spark):
+    """Scores beyond 2**62 that a long holds are told apart."""
+    rows = spark.createDataFrame([(1, [float(1 << 30)]), (2, [float((1 << 20) + 1)]), (3, [float((1 << 20) + 2)]), (4, [-float((1 << 20) + 3)])], "vec_id long, embedding array<double>")
+    got = [(x.vec_id, x.score) for x in topk.search(rows, rows.filter("vec_id = 1"), k=3).orderBy("rank").collect()]
+    assert got == [(3, ((1 << 20) + 2) << 42), (2, ((1 << 20) + 1) << 42), (4, -((1 << 20) + 3) << 42)] and got[0][1] > 1 << 62
+
+
 def test_topk_prunes_exactly(spark):
     r = np.random.default_rng(1)
     v = (r.normal(size=(3000, 8)) * r.exponential(size=(3000, 1)) * 64).astype(np.int64)
@@ -94,6 +101,39 @@ def test_topk_prunes_exactly(spark):
         assert [c for _, c in got] == want
 
 
+def ordered_plainly(turns, edges):
+    """level and ready of every call that can be ordered."""
+    needs = {c: {n for a, n in edges if a == c} for c in turns}
+    out = {}
+    while due := [c for c in turns if c not in out and all(n in out for n in needs[c])]:
+        for c in due:
+            out[c] = (max((out[n][0] + 1 for n in needs[c]), default=0), max([turns[c], *(out[n][1] for n in needs[c])]))
+    return out
+
+
+def test_deep_calls(spark, monkeypatch):
+    """A chain of 2,000 calls, ladders, circles and missing needs, in a number of rounds that does not follow the depth."""
+    r = np.random.default_rng(8)
+    n = 2000
+    turns = {f"c{i}": int(r.integers(0, 9000)) for i in range(n)}
+    edges = [(f"c{i}", f"c{i - 1}") for i in range(1, n)]
+    turns |= {f"t{i}": int(r.integers(0, 99)) for i in range(40)}  # a tree with cross needs: ten calls wait for two others
+    edges += [(f"t{i}", f"t{i // 2}") for i in range(1, 40)] + [(f"t{i}", f"t{i - 4}") for i in range(30, 40)] + [("t39", "c1500"), ("t38", "c40")]
+    turns |= {f"o{i}": i for i in range(30)}  # a circle, what hangs on it, and a call that needs one that isn't there
+    edges += [(f"o{i}", f"o{(i + 1) % 20}") for i in range(20)] + [(f"o{i}", f"o{i - 1}") for i in range(20, 28)] + [("o28", "gone"), ("o29", "o28")]
+    for rounds in (1, 3, 8):
+        monkeypatch.setattr(toolcalls, "PLAIN_ROUNDS", rounds)
+        calls = spark.createDataFrame([(1, c, t) for c, t in turns.items()], "conv_id long, call_id string, turn long")
+        needs = spark.createDataFrame([(1, a, b) for a, b in edges] * 2, "conv_id long, call_id string, needs string")
+        saved = []
+        save = Workspace.save
+        monkeypatch.setattr(Workspace, "save", lambda self, df, name: (saved.append(name), save(self, df, name))[1])
+        got = {x.call_id: (x.level, x.ready) for x in toolcalls.levels(Workspace(spark, "t"), calls, needs).collect()}
+        monkeypatch.setattr(Workspace, "save", save)
+        assert got == ordered_plainly(turns, edges), rounds
+        assert len(saved) < 50
+
+
 def test_toxicity(spark):
     texts = [(i, ("nice calm words of day " * 5 + ("you vile scumbag " * 3 if i % 4 == 0 else "") + f"n{i}") if i else None) for i in range(400)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
