@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 reread as the next stage's docs. All but the last return the columns of documents.
+
+Null texts pass all stages as null and are packed as empty documents. Null and repeated ids: rows are told apart by an
+ordinal in the order of id and text (see ``common.keyed``), so each has its own result. Of ties (equal lines, passages, near copies) the first row in that order
+stays. Further columns are kept, whatever their names. Of an empty table nothing is left, and nothing fails.
 """
 
 from __future__ import annotations
