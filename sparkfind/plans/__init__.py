@@ -8,7 +8,7 @@ from ..functions import display, text, vectors
 from ..operators import fusion, mirror, search
 from ..operators.fts import bm25, bm25_sql, postings, snippets
 from ..operators.vectors import dim_guard, literal, top_similar, top_similar_grouped
-from . import disk, indexed, mirroring
+from . import disk, indexed, mirroring, shown
 from . import tables as T
 
 QUERIES: dict = {}
@@ -309,5 +309,6 @@ def webkit_time(spark, sf):
 mirroring.registered(query)
 indexed.registered(query)
 disk.registered(query)
+shown.registered(query)
 
 __all__ = ["QUERIES", "SQL", "literal"]

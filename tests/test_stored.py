@@ -5,7 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from sparkfind.operators import fts, index, search, snapshots
+from sparkfind.operators import fts, index, search, snapshots, vector_store
 
 WEIGHTS = {"title": 4.0, "body": 1.0}
 
@@ -117,5 +117,11 @@ def test_searches_by_index(spark, tmp_path):
     for q in ("kiln", "tide", "nothing"):
         a, b = (search.search_repos(repos, chunks, q, [0.0, 1.0], None, index=x).collect() for x in (None, made))
         assert a == b
+    # the vectors from a store, and the query's vector from an embedder
+    store = vector_store.VectorStore(spark, f"file://{tmp_path}/v")
+    store.put(chunks)
+    embedder = lambda texts: [[0.0, 1.0] if "tide" in t else [1.0, 0.0] for t in texts]
+    for q, vector in (("tide", [0.0, 1.0]), ("kiln", [1.0, 0.0])):
+        assert search.search_repos(repos, store, q, None, 5, index=made, embedder=embedder).collect() == search.search_repos(repos, chunks, q, vector, 5).collect()
     many = spark.range(200).select("id", F.lit("x").alias("full_name"), F.lit(None).cast("string").alias("starred_at"))
     assert [search.search_repos(many, chunks, " ", None, n).count() for n in (None, 7, 1000)] == [30, 7, 100]
