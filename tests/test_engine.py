@@ -221,6 +221,13 @@ def tables(sf):
     return db
 
 
+def test_webkit_times_are_whole_seconds(spark):
+    """A microsecond before a full second, where doubles have gaps of two."""
+    micros = [13_300_000_000_999_999, 13_300_000_001_000_000, 1, 0, -1, None]
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(micros)], "i int, m long").select("i", display.webkit_to_unix(F.col("m")).alias("t"))
+    assert [r["t"] for r in rows.orderBy("i").collect()] == [1_655_526_400, 1_655_526_401, -11_644_473_600, None, None, None]
+
+
 @pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_against_sql(spark, sf, name):
     want = tables(sf).sql(plans.SQL[name])
