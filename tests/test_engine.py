@@ -4,6 +4,7 @@ import glob
 import json
 import os
 import sqlite3
+import time
 
 import duckdb
 import pytest
@@ -221,6 +222,18 @@ def tables(sf):
     return db
 
 
+def test_phrases_of_long_texts(spark):
+    """Phrases that overlap themselves, and a text of 200,000 tokens, which no count may go through once for each of them."""
+    texts = ["a a a", "a b a b a b", "a aa a a", "b-a.a", "a", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("t", text.spaced(F.col("t")))
+    counts = rows.select("i", *[fts.phrase_count(F.col("t"), p).alias("_".join(p)) for p in (["a", "a"], ["a", "b", "a"], ["b", "a"], ["a"])]).orderBy("i")
+    assert [tuple(r)[1:] for r in counts.collect()] == [(2, 0, 0, 3), (0, 2, 2, 3), (2, 0, 0, 4), (1, 0, 1, 2), (0, 0, 0, 1), (0, 0, 0, 0), (0, 0, 0, 0)]
+    long = spark.range(1).select(text.spaced(F.repeat(F.lit("doc-1 src "), 70_000)).alias("t"))
+    began = time.monotonic()
+    assert tuple(long.select(fts.phrase_count(F.col("t"), ["doc", "1"]), fts.phrase_count(F.col("t"), ["1", "src", "doc", "1"])).first()) == (70_000, 69_999)
+    assert time.monotonic() - began < 60
+
+
 def test_webkit_times_are_whole_seconds(spark):
     """A microsecond before a full second, where doubles have gaps of two."""
     micros = [13_300_000_000_999_999, 13_300_000_001_000_000, 1, 0, -1, None]
