@@ -1,7 +1,9 @@
 """What the engine keeps on disk: states of tables, the text index and its batches."""
 
+import glob
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,47 @@ def test_searches_by_index(spark, tmp_path):
         assert search.search_repos(repos, store, q, None, 5, index=made, embedder=embedder).collect() == search.search_repos(repos, chunks, q, vector, 5).collect()
     many = spark.range(200).select("id", F.lit("x").alias("full_name"), F.lit(None).cast("string").alias("starred_at"))
     assert [search.search_repos(many, chunks, " ", None, n).count() for n in (None, 7, 1000)] == [30, 7, 100]
+
+
+def posted(batches):
+    return sorted((r["term"], r["origin"], r["block"], r["ids"][at // 2], r["ds"][at // 2], at % 2, pos) for b in batches for r in b.to_pylist() for at, pos in zip(r["at"], r["pos"], strict=True))
+
+
+def test_postings_in_parts(monkeypatch):
+    """Postings, dead rows and beginnings of one batch are those of its parts, however small these are."""
+    rows = [(7, 0, " b a b ", " a "), (5, 0, " ", " "), (6, 0, " c ", " a a "), (9, 1, " a ", " ")]
+    batch = pa.RecordBatch.from_pylist([{"id": i, "origin": 3, "block": b, "d": len(x.split()) + len(y.split()), "t0": x, "t1": y} for i, b, x, y in rows])
+    want = sorted((t, 3, b, i, len(x.split()) + len(y.split()), c, p) for i, b, x, y in rows for c, z in enumerate((x, y)) for p, t in enumerate(z.split()))
+    counts = {"a": 3, "b": 1, "c": 1}
+    for most in (1 << 20, 4, 1):
+        monkeypatch.setattr(index, "AT_ONCE", most)
+        made = list(index._inverted(2)([batch]))
+        assert posted(made) == want
+        whole = pa.Table.from_batches(made)
+        gone = pa.array([[7, 9] if b == 0 else None for b in whole["block"].to_pylist()], pa.list_(pa.int64()))
+        assert posted(index._without(2)(whole.append_column("gone", gone).to_batches())) == [x for x in want if x[3] != 7]
+        begun = {}
+        for b in index._beginnings([pa.RecordBatch.from_pydict({"terms": [f"{x} {y}" for _, _, x, y in rows]})]):
+            for r in b.to_pylist():
+                begun[r["prefix"]] = begun.get(r["prefix"], 0) + r["n"]
+        assert begun == counts
+    most = {(r["term"], r["block"]): (r["most"], r["least"]) for r in list(made)[0].to_pylist()}
+    assert most == {("a", 0): ([1, 1], 4), ("b", 0): ([2, 0], 4)}
+
+
+def test_no_task_holds_a_lead(spark, tmp_path):
+    """A term of all rows is written by several tasks, as the rows of a block are; a merge of small segments gives one file."""
+    rows = spark.range(0, 8192, numPartitions=4).select("id", F.lit("the").alias("title"), F.lit("the the").alias("body"))
+    made = index.Index(spark, f"file://{tmp_path}/i", columns=tuple(WEIGHTS))
+    made.apply(rows.filter("id < 8000"))
+    files = f"{tmp_path}/i/data/postings-*/lead={index.lead_of('the')}/*.parquet"
+    assert len(glob.glob(files)) > 1
+    made.apply(rows.filter("id >= 7000"))
+    old = set(glob.glob(files))
+    made.merge(1)
+    assert len(set(glob.glob(files)) - old) == 1
+    assert hits(made.search("the", WEIGHTS, 9)) == hits(fts.bm25(rows, "id", WEIGHTS, "the", 9))
+    m = made.store.latest()[1]
+    made.store.commit(made.store.latest()[0], {k: v for k, v in m.items() if k != "format"})
+    with pytest.raises(ValueError):
+        made.search("the", WEIGHTS)
