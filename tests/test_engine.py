@@ -5,8 +5,11 @@ import json
 import os
 import sqlite3
 import time
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from sparkfind import plans
@@ -234,6 +237,14 @@ def test_phrases_of_long_texts(spark):
     assert time.monotonic() - began < 60
 
 
+def test_pages_of_a_large_table(tmp_path):
+    """The pages of a table with more rows than a listing has, in no order: only rows of these pages are held."""
+    keys = [(i * 7919) % 60_000 for i in range(60_000)]
+    pq.write_table(pa.table({"p_partkey": keys, "p_name": [f"n{k}" for k in keys], "p_brand": ["b"] * len(keys), "p_size": keys}), tmp_path / "part.parquet")
+    found = plans.disk._parts(str(tmp_path))
+    assert [r[0] for r in found] == list(range(20_000)) and found[-1] == (19_999, "n19999", "b", 19_999)
+
+
 def test_webkit_times_are_whole_seconds(spark):
     """A microsecond before a full second, where doubles have gaps of two."""
     micros = [13_300_000_000_999_999, 13_300_000_001_000_000, 1, 0, -1, None]
