@@ -237,6 +237,18 @@ def test_phrases_of_long_texts(spark):
     assert time.monotonic() - began < 60
 
 
+def test_batches_are_not_held_as_strings():
+    """Of an Arrow batch of 30 MB little is a Python object at a time, by cleaning and by cutting."""
+    texts = pa.array([f"# line {i}\n" + "some [linked](x) prose\n" * 900 for i in range(1500)] + [None, ""])
+    for f in (text.clean_markdown.func, text.chunks.func):
+        tracemalloc.start()
+        made = f(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(made) == len(texts) and peak < 15_000_000
+    assert text.clean_markdown.func(pa.array(["# a", None, ""])).to_pylist() == ["a\n", None, ""] and len(text.clean_markdown.func(texts.slice(0, 0))) == 0
+
+
 def test_pages_of_a_large_table(tmp_path):
     """The pages of a table with more rows than a listing has, in no order: only rows of these pages are held."""
     keys = [(i * 7919) % 60_000 for i in range(60_000)]
