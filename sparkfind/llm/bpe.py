@@ -15,12 +15,14 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .tokens import Cached, packed, public_path, space_pieces
+from .tokens import Cached, blank_cut, literal, packed, public_path, word_atoms
 
 _made: dict = {}
 
@@ -85,8 +87,8 @@ class ByteBPE:
         split = regex.compile(pattern).findall
         ranks, known = self.ranks, rank_of
 
-        def encode(pieces: list[str], _known: dict) -> Iterator[bytes]:
-            cut = [[m.encode("utf-8", "surrogatepass") for m in split(p)] for p in pieces]
+        def encode(pieces: list[str]) -> Iterator[bytes]:
+            cut = [[m.encode("utf-8", "surrogatepass") for m in split(literal(p))] for p in pieces]
             rest = list({m for ms in cut for m in ms if m not in ranks})
             ids = dict(zip(rest, made.encode([m.decode("latin-1").translate(table) for m in rest], num_threads=1), strict=True)) if rest else {}
             for ms in cut:
@@ -98,7 +100,7 @@ class ByteBPE:
                         out.extend(known[ids[m]].tolist())
                 yield packed(out)
 
-        self.encode = Cached(encode, space_pieces)
+        self.encode = Cached(encode, blank_cut, partial(word_atoms, lower=False))
         self.tokens = np.empty(max(self.ranks.values()) + 1, object)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
@@ -119,9 +121,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe_of(path, pattern)
         for batch in batches:
+            texts = bpe.encode(batch.column(1))
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                ids = [np.frombuffer(x, "<u4") for x in bpe.encode([t or "" for t in part.column(1).to_pylist()])]
+                ids = [np.frombuffer(x, "<u4") for x in islice(texts, part.num_rows)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array([bpe.decode(x) for x in ids], pa.binary())],
                     ["doc_id", "ids", "n_tokens", "decoded"],
@@ -136,9 +139,10 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe_of(path, pattern)
         for batch in batches:
+            texts = bpe.encode(batch.column(1))
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
+                ids = list(islice(texts, part.num_rows))
                 decoded = [hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array(decoded)],

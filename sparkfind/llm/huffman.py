@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -131,9 +132,10 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, place, seen = word_bpe(tokenizer), 0, np.zeros(0, np.int64)
         for batch in batches:
+            texts = encode(batch.column(1))
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = [x + end for x in encode([t or "" for t in part.column(1).to_pylist()])]
+                found = [x + end for x in islice(texts, part.num_rows)]
                 flat = np.frombuffer(b"".join(found), "<u4")
                 # low bytes and high bytes apart compress better; three bytes hold any id below 2**24
                 cells = [np.frombuffer(x, np.uint8).reshape(-1, 4) for x in found]

@@ -141,17 +141,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
         held: list[bytes] = []
         tokens = 0
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for i in range(0, len(keys), 256):
-                texts = [t or "" for t in batch.column(1).slice(i, 256).to_pylist()]
-                for key, found in zip(keys[i : i + 256], encode(texts), strict=True):
-                    ids.append(key)
-                    held.append(found + end)
-                    tokens += len(found) // 4 + 1
-                    if tokens >= block_tokens:
-                        out, n = _rows(ids, held, first, length)
-                        first, ids, held, tokens = first + n, [], [], 0
-                        yield out
+            for key, found in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids.append(key)
+                held.append(found + end)
+                tokens += len(found) // 4 + 1
+                if tokens >= block_tokens:
+                    out, n = _rows(ids, held, first, length)
+                    first, ids, held, tokens = first + n, [], [], 0
+                    yield out
         encode.rest()
         if ids:
             yield _rows(ids, held, first, length)[0]
