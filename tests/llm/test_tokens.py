@@ -47,3 +47,12 @@ def test_odd_texts_have_the_libraries_ids(monkeypatch, part):
     path = P.path("byte_bpe_50k.tiktoken")
     made = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
     assert list(bpe.byte_bpe_of(path, P.PATTERN).encode(column)) == [tokens.packed(made.encode_ordinary(t or "")) for t in texts]
+
+
+def test_word_forms_are_one_word_of_op5():
+    """Case and marks make no new word where the vocabulary is lower case."""
+    encode, library = fresh("word_bpe_49k.json")
+    texts = [" ".join(f + m for f in ("quater", "Quater", "QUATER", "fnéoß", "Fnéoß") for m in ("", ",", ".", "...")), '"Quater" (fnéoß)']
+    got = list(encode(pa.array(texts)))
+    assert got == [tokens.packed(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert set(encode.known) == {"quater", "fnéoß", ",", ".", "...", '"Quater"', "(fnéoß)"}
