@@ -1,8 +1,12 @@
 """Queries against their SQL on tables with odd rows, or with more rows than a limit of old."""
 
+import json
+
 import duckdb
 
 from sparkfind import plans
+from sparkfind.plans import disk
+from sparkfind.sources import remote
 
 
 def differences(spark, folder, name, **tables):
@@ -26,3 +30,15 @@ def test_embed_pending_of_odd_rows(spark, tmp_path):
     texts = [None, "", " ", "x", "\n" * 5000, "é word\n" * 900, "x" * 250_000]
     rows = [(i, t, "en", "src1", 0) for i, t in enumerate(texts)] + [(10, "a" * 3000, None, "src1", 0), (11, "b", "en", None, 0), (12, "", None, None, 0)]
     assert differences(spark, tmp_path, "embed_pending", documents=(DOCUMENTS, rows)) == [[], []]
+
+
+def test_starred_pages_are_all_read(spark, tmp_path):
+    """A listing of more than 200 pages is read whole, by 200 tasks at most; with a number of pages no more than these."""
+    rows = [(k * 3, f"name {k}", f"b{k % 5}", k % 50) for k in range(20_250)]
+    assert differences(spark, tmp_path, "starred_pages", part=("p_partkey long, p_name string, p_brand string, p_size int", rows)) == [[], []]
+    runs = disk.part_runs(spark, str(tmp_path))
+    listed = lambda **options: remote.list_starred(spark, "t", transport="sparkfind.plans.disk:part_pages", endpoint=runs, **options)
+    assert listed().rdd.getNumPartitions() <= remote.MOST_PAGES and listed(pages="201").count() == 20_100
+    for pages in (1, 199, 5000):
+        last = remote.last_page(lambda url, head: (200, {}, json.dumps([0] * (100 if int(url.rsplit("page=", 1)[1]) < pages else 7)).encode()), "t", "https://x", None)
+        assert last == pages
