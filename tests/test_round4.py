@@ -1,11 +1,14 @@
 """Queries against their SQL on tables with odd rows, or with more rows than a limit of old."""
 
+import glob
 import json
 
 import duckdb
+import pyarrow as pa
 
 from sparkfind import plans
-from sparkfind.plans import disk
+from sparkfind.operators import index
+from sparkfind.plans import disk, indexed
 from sparkfind.sources import remote
 
 
@@ -42,3 +45,25 @@ def test_starred_pages_are_all_read(spark, tmp_path):
     for pages in (1, 199, 5000):
         last = remote.last_page(lambda url, head: (200, {}, json.dumps([0] * (100 if int(url.rsplit("page=", 1)[1]) < pages else 7)).encode()), "t", "https://x", None)
         assert last == pages
+
+
+def test_dead_rows_stand_once(spark):
+    """A block's dead rows are listed in one row before its postings, in whatever batches these come."""
+    row = lambda block, ids, term="a": {"term": term, "origin": 1, "block": block, "most": [1], "least": 1, "ids": ids, "ds": [1] * len(ids), "at": list(range(len(ids))), "pos": [0] * len(ids), "gone": None}
+    mark = lambda block, gone: dict.fromkeys(row(0, []), None) | {"origin": 1, "block": block, "gone": gone}
+    rows = [mark(0, [1, 3]), row(0, [1, 2, 3]), row(0, [3], "b"), row(1, [1, 3]), mark(2, [7]), row(2, [6, 7]), row(2, [7, 8], "b")]
+    schema = pa.schema([("term", pa.string()), ("origin", pa.int32()), ("block", pa.int64()), ("most", pa.list_(pa.int32())), ("least", pa.int32()), ("ids", pa.list_(pa.int64())), *[(c, pa.list_(pa.int32())) for c in ("ds", "at", "pos")], ("gone", pa.list_(pa.int64()))])
+    want = [("a", 0, [2]), ("a", 1, [1, 3]), ("a", 2, [6]), ("b", 2, [8])]
+    for size in (1, 3, 99):
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + size], schema) for i in range(0, len(rows), size)]
+        assert [(r["term"], r["block"], r["ids"]) for b in index._without(1)(batches) for r in b.to_pylist()] == want
+
+
+def test_one_build_with_few_files(spark, sf):
+    """The queries after batches share an index, of which a batch's counts have a file for each lead, not one for each task and lead."""
+    made = indexed.after_batches(spark, sf)
+    assert indexed.after_batches(spark, sf) is made
+    path = made.store.path.removeprefix("file://")
+    for s in made.store.latest()[1]["segments"]:
+        leads = glob.glob(f"{path}/{s['stats']}/lead=*")
+        assert leads and all(len(glob.glob(f"{x}/*.parquet")) == 1 for x in leads)
